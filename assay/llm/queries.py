@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assay.llm.chunking import split_texts
 from assay.llm.consensus import consensus, latest_scores
+from assay.llm.pairs import pair_defects
 from assay.llm.splits import deal, tied_groups
 from assay.sources.tables import cut, table
 
@@ -25,6 +26,12 @@ def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "decisions").select("row_id", _key("group").alias("group"), F.when(entity.rlike("^e[0-9]+$"), entity).alias("entity"), "time")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The defective pairs of both answer tables with their defect."""
+    of = lambda src: table(spark, sf_dir, src).select(F.lit(src).alias("src"), "id", "question", "answer", "type")
+    return pair_defects(of("answers_gemini").unionByName(of("answers_gemini_norag")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tied groups of sets with rows both before and from 2025 on: each but the smallest, with the smallest."""
     rows = _decisions(spark, sf_dir)
@@ -80,5 +87,5 @@ def p5_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _consensus(spark, sf_dir)[1]
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_splits, p4_found, p4_pieces, p5_found, p5_agreement, p5_raters)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_splits, p4_found, p4_pieces, p5_found, p5_agreement, p5_raters)}
 SQL: dict[str, str] = {}
