@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assay.llm.chunking import split_texts
 from assay.llm.consensus import consensus, latest_scores
 from assay.llm.pairs import pair_defects
+from assay.llm.quality import text_statistics, text_types
 from assay.llm.splits import deal, tied_groups
 from assay.sources.tables import cut, table
 
@@ -87,5 +88,15 @@ def p5_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _consensus(spark, sf_dir)[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_splits, p4_found, p4_pieces, p5_found, p5_agreement, p5_raters)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that aren't natural prose, and what they are."""
+    return text_types(table(spark, sf_dir, "documents")).filter("kind <> 'prose'").select(F.col("id").alias("doc_id"), "kind")
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of each document."""
+    return text_statistics(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_splits, p4_found, p4_pieces, p5_found, p5_agreement, p5_raters, p9_found, p9_statistics)}
 SQL: dict[str, str] = {}
