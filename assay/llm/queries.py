@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from assay.llm.chunking import split_texts
 from assay.llm.consensus import consensus, latest_scores
+from assay.llm.leaks import find_leaks
+from assay.llm.packing import pack, token_counts
 from assay.llm.pairs import pair_defects
 from assay.llm.quality import text_statistics, text_types
 from assay.llm.splits import deal, tied_groups
@@ -88,6 +90,21 @@ def p5_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _consensus(spark, sf_dir)[1]
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of each document, or of each piece of a document longer than a container."""
+    return pack(token_counts(table(spark, sf_dir, "documents")), 2048).withColumnRenamed("id", "doc_id")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that had to be divided."""
+    return p7_containers(spark, sf_dir).filter("n_pieces > 1").select("doc_id").distinct()
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of eval_items that each document holds in full or in part."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that aren't natural prose, and what they are."""
     return text_types(table(spark, sf_dir, "documents")).filter("kind <> 'prose'").select(F.col("id").alias("doc_id"), "kind")
@@ -98,5 +115,5 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_statistics(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_splits, p4_found, p4_pieces, p5_found, p5_agreement, p5_raters, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_splits, p4_found, p4_pieces, p5_found, p5_agreement, p5_raters, p7_found, p7_containers, p8_found, p9_found, p9_statistics)}
 SQL: dict[str, str] = {}
