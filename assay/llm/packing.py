@@ -9,7 +9,6 @@ bounded size that each get their share of containers.
 
 from __future__ import annotations
 
-import base64
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -20,22 +19,20 @@ from pyspark.sql import functions as F
 
 from assay.sources.tables import cut
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-# Fixed value: how byte-level BPE vocabularies of this kind cut a text before merging.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 
 def token_counts(df: DataFrame, *, id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """(id, n_tokens) of each row; a null text has 0 tokens. tokenizer: a file of merge ranks that every executor can read."""
+    """(id, n_tokens) of each row; a null text has 0 tokens. tokenizer: a model file that every executor can read."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import tiktoken
+        import sentencepiece
 
-        with open(tokenizer, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        enc = sentencepiece.SentencePieceProcessor(model_file=tokenizer)
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "n_tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in b["text"]]})
+            ids = enc.encode([t or "" for t in b["text"]], num_threads=1)
+            yield pd.DataFrame({"id": b["id"], "n_tokens": [len(x) for x in ids]})
 
     rows = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
     return rows.mapInPandas(count, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens int")
