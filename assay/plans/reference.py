@@ -39,8 +39,14 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assert_contract(first_load(df, "row_id", "loaded"), ["group", "time", "baseline", "outcome"])
 
 
-KEY = group_key(F.col("group"), F.col("row_id"))
-FEATURES: dict[str, Column] = {"weekend": F.col("weekend"), "g1": F.col("grade") == "G1", "high": F.col("level") >= 4, "dear": F.col("cost") >= 2}
+def _key() -> Column:
+    return group_key(F.col("group"), F.col("row_id"))
+
+
+def _specs() -> dict[str, Column]:
+    return {"weekend": F.col("weekend"), "g1": F.col("grade") == "G1", "high": F.col("level") >= 4, "dear": F.col("cost") >= 2}
+
+
 _D = "d AS (SELECT * FROM decisions QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY loaded) = 1)"
 _KEY = """coalesce("group", chr(1) || row_id)"""
 
@@ -86,7 +92,7 @@ def mean_ci_events(spark, d):
 @query(_mean_sql(f"{_D}, src AS (SELECT * FROM d)", _KEY, "value", iters=1000))
 def mean_ci_decisions(spark, d):
     """Mean value of decisions; a null group is a group of its own."""
-    return rounded(intervals.mean_ci(decisions(spark, d), KEY, F.col("value"), iters=1000))
+    return rounded(intervals.mean_ci(decisions(spark, d), _key(), F.col("value"), iters=1000))
 
 
 @query(_mean_sql("src AS (SELECT * FROM events)", "user_id", "value", by="event_type", iters=1000))
@@ -102,7 +108,7 @@ def mean_ci_strata(spark, d):
     SELECT n, n_groups, round(estimate, 6) AS estimate, round(lo, 6) AS lo, round(hi, 6) AS hi, n_groups >= 30 AS reliable, lo > 100 AND n_groups >= 30 AS robust_positive, hi < 100 AND n_groups >= 30 AS robust_negative, hits FROM p, ci""")
 def roi_ci_decisions(spark, d):
     """Return of the decisions acted on."""
-    return rounded(intervals.roi_ci(decisions(spark, d), KEY, F.col("cost"), F.coalesce("payoff", "outcome"), iters=1000))
+    return rounded(intervals.roi_ci(decisions(spark, d), _key(), F.col("cost"), F.coalesce("payoff", "outcome"), iters=1000))
 
 
 _RADIUS = "{s} * sqrt(2 * (n * 0.25 + 1) / (n::DOUBLE * n * 0.25) * ln(sqrt(n * 0.25 + 1) / 0.1))"
@@ -168,7 +174,7 @@ def calibration_bins_decisions(spark, d):
     e AS (SELECT label, stddev_pop(v) AS se FROM reps GROUP BY label)
     SELECT label, n, n_groups, round(resid, 6) AS resid, round(se, 6) AS se, round(CASE WHEN se > 0 THEN resid / se ELSE 0 END, 6) AS z FROM p JOIN e USING (label)""")
 def residual_scan_decisions(spark, d):
-    return rounded(scan.residual_scan(decisions(spark, d), FEATURES, KEY, F.col("baseline"), F.col("outcome"), "row_id", iters=300))
+    return rounded(scan.residual_scan(decisions(spark, d), _specs(), _key(), F.col("baseline"), F.col("outcome"), "row_id", iters=300))
 
 
 def _stages(parts: int) -> str:
@@ -192,12 +198,12 @@ def _stages(parts: int) -> str:
 
 @query(f"{_stages(2)} SELECT label, round(r1, 6) AS resid_d, round(z1, 6) AS z_d, n1 AS n_d, round(r2, 6) AS resid_v, round(z2, 6) AS z_v, n2 AS n_v, coalesce(abs(z1) >= 2 AND r1 * r2 > 0 AND abs(r2) >= 0.02 AND abs(z2) >= 1, FALSE) AS survives FROM w")
 def holdout_scan_decisions(spark, d):
-    return rounded(scan.holdout_scan(decisions(spark, d), FEATURES, KEY, F.col("time"), F.col("baseline"), F.col("outcome"), "row_id", iters=200))
+    return rounded(scan.holdout_scan(decisions(spark, d), _specs(), _key(), F.col("time"), F.col("baseline"), F.col("outcome"), "row_id", iters=200))
 
 
 @query(f"{_stages(3)} SELECT label, round(z1, 6) AS z_d, round(z2, 6) AS z_v, round(z3, 6) AS z_c, coalesce(abs(z1) >= 2 AND sign(r1) = sign(r2) AND abs(z2) >= 1 AND sign(r1) = sign(r3) AND abs(z3) >= 1, FALSE) AS confirmed, '' AS note FROM w")
 def staged_scan_decisions(spark, d):
-    return rounded(scan.staged_scan(decisions(spark, d), FEATURES, KEY, F.col("time"), F.col("baseline"), F.col("outcome"), "row_id", estimand="outcome against baseline", iters=200))
+    return rounded(scan.staged_scan(decisions(spark, d), _specs(), _key(), F.col("time"), F.col("baseline"), F.col("outcome"), "row_id", estimand="outcome against baseline", iters=200))
 
 
 # --- leaks
