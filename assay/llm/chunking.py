@@ -64,7 +64,7 @@ def split_texts(df: DataFrame, *, id: str = "id", title: str | None = "title", t
     name = F.col(title) if title else F.lit(None).cast("string")
     rows = df.select(F.col(id).alias("id"), name.alias("name"), F.col(text).alias("text")).filter("text is not null and (text <> '' or name is not null)").distinct()
     body = F.when(F.col("name").isNull(), F.col("text")).otherwise(F.concat("name", F.lit(". "), "text"))
-    docs = cut(rows.select("id", body.alias("body"), F.length("text").alias("tail")).withColumn("key", F.md5(F.concat_ws("\x01", F.coalesce("id", F.lit("\x02")), "body"))).withColumn("size", F.length("body")))
+    docs = cut(rows.select("id", body.alias("body"), F.length("text").alias("tail")).withColumn("key", F.md5(F.concat_ws("\x01", F.coalesce("id", F.lit("\x02")), "body"))).dropDuplicates(["key"]).withColumn("size", F.length("body")))
     over = docs.filter(F.col("size") > limit)
     ends = cut(boundaries(over))
     prev = F.lag("pos", 1, 0).over(Window.partitionBy("key").orderBy("pos"))

@@ -88,17 +88,20 @@ def holds(item: list[str], weight: list[float], passage: list[str], span: int =
     span = min(span, len(item))
     need = span - (-(-span // differ)) - 1
     known = set(passage)
-    if sum(w in known for w in item) < need:
-        return False
-    pairs = lcs_pairs(item, passage)
-    at = dict(pairs)
     wide = min(span + 1, len(item))
-    for s in range(len(item) - wide + 1):
+    hit = [w in known for w in item]
+    # Windows that even without regard to order hold too few of the words, or too little of the weight, can't match.
+    starts = [
+        s for s in range(len(item) - wide + 1)
+        if sum(hit[s : s + wide]) >= need and sum(weight[k] for k in range(s, s + wide) if hit[k]) >= 0.6 * sum(weight[s : s + wide])
+    ]
+    if not starts:
+        return False
+    at = dict(lcs_pairs(item, passage))
+    for s in starts:
         got = [(k, at[k]) for k in range(s, s + wide) if k in at]
-        if len(got) >= need and got[-1][1] - got[0][1] <= wide + 3:
-            total = sum(weight[s : s + wide])
-            if sum(weight[k] for k, _ in got) >= 0.6 * total:
-                return True
+        if len(got) >= need and got[-1][1] - got[0][1] <= wide + 3 and sum(weight[k] for k, _ in got) >= 0.6 * sum(weight[s : s + wide]):
+            return True
     return False
 
 
@@ -215,12 +218,12 @@ def find_leaks(
     """(item_id, doc_id) of each document that holds an item's text or at least 12 words in a row of it, where one word in
     six may differ. A text that occurs twice counts for each document; a pair is given once.
 
-    Null and empty texts hold nothing and are held by none; an item of fewer than 12 words counts when the document has
+    Null and empty texts hold nothing and are held by none, rows without id are left out; an item of fewer than 12 words counts when the document has
     all of it but for one word in six. The items, their vocabulary (at most max_items and max_vocabulary, more are
     refused) and the fitted vectors are broadcast; all documents are counted and searched. Without check, all pairs of
     documents and items that pass the cosine are given."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
+    texts = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
     rows = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null").distinct().orderBy("i", "t").limit(max_items + 1).collect()
     if len(rows) > max_items:
         raise ValueError(f"more than {max_items} items")
