@@ -23,22 +23,22 @@ COMMON = (
 ).split()
 
 _LETTER = r"\p{L}"
-_WORD = r"(?<![\p{L}\p{N}_])\p{L}+(?:['’]\p{L}+)*(?![\p{L}\p{N}_])"
+_WORD = r"(?<![\p{L}\p{N}_])\p{L}+(?:['’]\p{L}+){0,9}(?![\p{L}\p{N}_])"
 _PATTERNS = {
     # Parts of the text, as patterns of whole lines.
-    "bar": r"(?m)^[^|\n]{0,60}(?:\|[^|\n]{0,60}){2,}$",
-    "tab": r"(?m)^[^\t\n]{0,60}(?:\t[^\t\n]{0,60})+$",
-    "separated": r"(?m)^[^,;\n]{0,40}(?:[;,](?![ \n])[^,;\n]{0,40}){2,}$|^[^;\n]{1,40}(?:; ?[^;\n]{0,40}){3,}$",
-    "aligned": r"(?m)^ *\S+(?: \S+){0,2}(?: {2,}\S+(?: \S+){0,2}){2,} *$",
+    "bar": r"(?m)^[^|\n]{0,60}(?:\|[^|\n]{0,60}){2,200}$",
+    "tab": r"(?m)^[^\t\n]{0,60}(?:\t[^\t\n]{0,60}){1,200}$",
+    "separated": r"(?m)^[^,;\n]{0,40}(?:[;,](?![ \n])[^,;\n]{0,40}){2,200}$|^[^;\n]{1,40}(?:; ?[^;\n]{0,40}){3,200}$",
+    "aligned": r"(?m)^ *\S+(?: \S+){0,2}(?: {2,}\S+(?: \S+){0,2}){2,200} *$",
     "border": r"(?m)^[ +|:=-]*[+|=-]{3}[ +|:=-]*$",
     "html": r"(?m)^.*</?t(?:able|head|body|r|d|h)\b.*$",
-    "ampersand": r"(?m)^[^&\n]{1,60}(?: & [^&\n]{0,60}){2,}$",
+    "ampersand": r"(?m)^[^&\n]{1,60}(?: & [^&\n]{0,60}){2,200}$",
     "marked": r"(?m)^\s*(?:[-*•+–‣◦▪·]|\(?\d{1,4}[.)]|\(?[a-zA-Z][.)]|\[[ xX✓]?\]|[☐☑✓])\s+\S.{0,160}$",
     "keyed": r"(?m)^\s*[\p{L}\p{N}_.-]{2,30}: \S.{0,90}(?<![.!?。])$",
     "brief": r"(?m)^(?=.{2,72}$)[^|\t\n]*[^\s.!?:;,。|]$",
     "closed": r"(?m)^.*[.!?。！？…][\"”'’)\]]*[^\S\n]*$",
-    "cycle": r"(?s)(\S.{0,24}?)\1{5,}",
-    "unbroken": r"[^\s、。，]{26,}",
+    "cycle": r"(?s)(?<!\S)(\S.{0,24}?)\1{5,}",
+    "unbroken": r"(?<!\S)\S{26,}+",
     "hexwords": r"\b(?=[a-f]{0,7}\d)[0-9a-f]{4,8}\b",
     "mangled": r"[�ÃÂÐÑ€™šœžŸ¤¶¼¾©âÄÅ][�ÃÂÐÑ€™šœžŸ¤¶¼¾©âÄÅ ]+",
     "kana": r"[぀-ヿ一-鿿、。]+",
