@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,23 +27,88 @@ def chunk_documents(docs: DataFrame, id: str = "id", title: str = "title", text:
     return rows.select(F.concat(F.col("doc_id").cast("string"), F.lit("::"), F.col("i").cast("string")).alias("chunk_id"), "doc_id", F.concat_ws(". ", "title", "s").alias("chunk"))
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, chunk_id, doc_id, score) of chunks that share a word with the query, from (chunk_id, doc_id, chunk) and (query_id, query).
+def bm25_weights(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """(term, chunk_id, doc_id, w) of the queries' words in the chunks, and (query_id, term, qf) of the queries.
 
-    A word that the query repeats counts as often. Postings are cut down to the queries' words before they are counted, so
-    the join's size follows the matches."""
-    terms = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    words = chunks.select("chunk_id", "doc_id", tokenize(F.col("chunk")).alias("ws"))
-    sized = cut(words.withColumn("dl", F.size("ws")))
-    stats = sized.agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"))
+    Postings are cut down to the queries' words before they are counted. A word that a query repeats counts as often."""
+    terms = cut(queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf")))
+    words = cut(chunks.select("chunk_id", "doc_id", tokenize(F.col("chunk")).alias("ws")).withColumn("dl", F.size("ws")))
+    stats = words.agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"))
     wanted = terms.select("term").distinct()
-    tf = sized.select("chunk_id", "doc_id", "dl", F.explode("ws").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "chunk_id", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    tf = words.select("chunk_id", "doc_id", "dl", F.explode("ws").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "chunk_id", "doc_id", "dl").agg(F.count("*").alias("tf"))
     tf = cut(tf)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighed = tf.join(df, "term").join(F.broadcast(stats)).select("term", "chunk_id", "doc_id", weight.alias("w"))
-    return weighed.join(terms, "term").groupBy("query_id", "chunk_id", "doc_id").agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
+    return cut(tf.join(df, "term").join(F.broadcast(stats)).select("term", "chunk_id", "doc_id", weight.alias("w"))), terms
+
+
+def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, chunk_id, doc_id, score) of all chunks that share a word with the query, from (chunk_id, doc_id, chunk)
+    and (query_id, query). For the best documents only, bm25_top does less."""
+    weights, terms = bm25_weights(chunks, queries, k1, b)
+    return _sum(weights.join(terms, "term"))
+
+
+def _sum(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("query_id", "chunk_id", "doc_id").agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
+
+
+def bm25_top(chunks: DataFrame, queries: DataFrame, k: int = 5, *, k1: float = 1.5, b: float = 0.75, block_chunks: int = 20_000, max_queries: int = 200_000) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best documents by their best chunk; all chunks are scored, ties go by id.
+
+    Queries share so many words with all chunks that joining them by word would make nearly every pair. Instead the queries
+    (at most max_queries, more are refused) are broadcast, and each task scores its chunks in blocks through the block's
+    postings, keeping k documents per query and block; the best of those are the best of all."""
+    terms = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    asked = terms.groupBy("query_id").agg(F.collect_list(F.struct("term", "qf")).alias("ts")).limit(max_queries + 1).collect()
+    if len(asked) > max_queries:
+        raise ValueError(f"more than {max_queries} queries")
+    words = cut(chunks.select("doc_id", tokenize(F.col("chunk")).alias("ws")))
+    n, avgdl = words.agg(F.count("*"), F.avg(F.size("ws"))).first()
+    wanted = cut(terms.select("term").distinct())
+    df = {r.term: r.df for r in words.select(F.explode(F.array_distinct("ws")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).collect()}
+    idf = {t: math.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
+    shared = chunks.sparkSession.sparkContext.broadcast(([(r.query_id, [(t.term, t.qf) for t in r.ts if t.term in idf]) for r in asked], idf))
+
+    def best(docs: list, texts: list) -> Iterator[tuple]:
+        asked, idf = shared.value
+        names = sorted(set(docs))
+        place = {d: i for i, d in enumerate(names)}
+        at = np.array([place[d] for d in docs])
+        raw: dict[str, list[tuple[int, float]]] = {}
+        for c, ws in enumerate(texts):
+            norm = k1 * (1 - b + b * len(ws) / avgdl)
+            for t, f in Counter(w for w in ws if w in idf).items():
+                raw.setdefault(t, []).append((c, idf[t] * f * (k1 + 1) / (f + norm)))
+        postings = {t: (np.array([c for c, _ in v]), np.array([w for _, w in v])) for t, v in raw.items()}
+        for query, ts in asked:
+            score = np.zeros(len(docs))
+            for t, qf in ts:
+                if t in postings:
+                    score[postings[t][0]] += postings[t][1] * qf
+            by_doc = np.zeros(len(names))
+            np.maximum.at(by_doc, at, score)
+            by_doc = np.round(by_doc, 9)
+            least = np.partition(by_doc, -k)[-k] if len(by_doc) > k else 0.0
+            hit = np.nonzero((by_doc >= least) & (by_doc > 0))[0]
+            for d in sorted(hit, key=lambda d: (-by_doc[d], names[d]))[:k]:
+                yield query, names[d], float(by_doc[d])
+
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {chunks.schema['doc_id'].dataType.simpleString()}, score double"
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        docs, texts = [], []
+        for batch in batches:
+            docs += batch["doc_id"].tolist()
+            texts += batch["ws"].tolist()
+            if len(docs) >= block_chunks:
+                yield pd.DataFrame(best(docs, texts), columns=["query_id", "doc_id", "score"])
+                docs, texts = [], []
+        if docs:
+            yield pd.DataFrame(best(docs, texts), columns=["query_id", "doc_id", "score"])
+
+    return top_docs(words.mapInPandas(search, kinds), k)
 
 
 def top_docs(scores: DataFrame, k: int = 5) -> DataFrame:

@@ -655,7 +655,7 @@ _BM25 = _CHUNKS + r""", w AS (SELECT chunk_id, doc_id, regexp_extract_all(lower(
 
 def _top(spark, d) -> DataFrame:
     qs = table(spark, d, "answers_gemini").filter("id is not null").groupBy(F.col("id").alias("query_id")).agg(F.min("question").alias("query"))
-    return retrieve.top_docs(retrieve.bm25_scores(retrieve.chunk_documents(_postmortems(spark, d)), qs))
+    return retrieve.bm25_top(retrieve.chunk_documents(_postmortems(spark, d)), qs)
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM top")

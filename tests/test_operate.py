@@ -117,6 +117,12 @@ def test_retrieval(spark):
     qs = spark.createDataFrame([("q", "dogs dogs"), ("r", "birds"), ("n", "nothing here")], "query_id string, query string")
     top = {(r.query_id, r.rank): r.doc_id for r in retrieve.top_docs(retrieve.bm25_scores(chunks, qs)).collect()}
     assert top == {("q", 1): "d1", ("r", 1): "d2"}
+    rnd = random.Random(8)
+    words = [f"w{int(rnd.paretovariate(1))}" for _ in range(3000)]
+    many = spark.createDataFrame([(f"c{i}", f"d{i % 60}", " ".join(rnd.choices(words, k=12))) for i in range(240)], "chunk_id string, doc_id string, chunk string")
+    qs = spark.createDataFrame([(f"q{i}", " ".join(rnd.choices(words, k=8))) for i in range(30)] + [("few", "w2999999"), ("empty", None)], "query_id string, query string")
+    full = sorted(map(tuple, retrieve.top_docs(retrieve.bm25_scores(many, qs)).collect()))
+    assert sorted(map(tuple, retrieve.bm25_top(many, qs).collect())) == full
     df = spark.createDataFrame([(["a", "b"], ["x", "a"]), (["c"], []), ([], ["a"])], "gold array<string>, got array<string>")
     r = retrieve.retrieval_metrics(df, "gold", "got").first()
     assert (r.n, r.recall, r.mrr) == (2, 0.25, 0.25)
