@@ -51,7 +51,7 @@ def _share(text: Column, pattern: str) -> Column:
 
 def text_statistics(df: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id with its statistics: n_chars, n_words, n_lines, mean_word_length, symbol_ratio, digit_ratio, closed_lines (share
-    of lines ending in punctuation), common_words, distinct_words, odd_words (without plausible vowels), mean_line_words,
+    of lines ending in punctuation), common_words, distinct_words, odd_words (without plausible vowels), mean_line_words, tab_lines,
     and the share of the text in lines or runs of each pattern. Of a null or empty text counts are 0 and shares null.
     Repeated ids give repeated rows; other columns are ignored."""
     t = F.col("t")
@@ -76,6 +76,7 @@ def text_statistics(df: DataFrame, *, id: str = "doc_id", text: str = "text") ->
         "distinct_words": F.try_divide(F.size(F.array_distinct("w")), n),
         "odd_words": F.try_divide(odd, n),
         "mean_line_words": F.try_divide(n, lines),
+        "tab_lines": F.regexp_count(t, F.lit(_PATTERNS["tab"])),
     }
     return rows.select("id", *(c.alias(k) for k, c in stats.items()), *(_share(t, p).alias(f"in_{k}") for k, p in _PATTERNS.items()))
 
@@ -83,7 +84,8 @@ def text_statistics(df: DataFrame, *, id: str = "doc_id", text: str = "text") ->
 def labelling_functions() -> dict[str, Column]:
     """Thresholds on the statistics: the type voted for, or null."""
     c = lambda name: F.coalesce(F.col(name), F.lit(0.0))
-    cells = F.greatest(*(c(f"in_{k}") for k in ("bar", "tab", "separated", "aligned", "html", "ampersand")))
+    tabs = F.when(c("tab_lines") >= 3, c("in_tab")).otherwise(0.0)  # a line or two with tabs for blanks are no rows
+    cells = F.greatest(tabs, *(c(f"in_{k}") for k in ("bar", "separated", "aligned", "html", "ampersand")))
     noisy = (c("symbol_ratio") > 0.22) & (cells < 0.5)
     clean = (c("symbol_ratio") < 0.15) & (c("in_hexwords") < 0.3)
     entries = F.greatest(c("in_marked"), c("in_keyed"))
