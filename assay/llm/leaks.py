@@ -213,7 +213,7 @@ class Index:
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    rank: int = 512, passage: int = 24, least: float = 0.22, max_items: int = 20_000, max_vocabulary: int = 12_000, check: bool = True,
+    rank: int = 512, passage: int = 24, least: float = 0.22, max_items: int = 20_000, max_vocabulary: int = 5_000, check: bool = True,
 ) -> DataFrame:
     """(item_id, doc_id) of each document that holds an item's text or at least 12 words in a row of it, where one word in
     six may differ. A text that occurs twice counts for each document; a pair is given once.

@@ -116,4 +116,20 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_splits, p4_found, p4_pieces, p5_found, p5_agreement, p5_raters, p7_found, p7_containers, p8_found, p9_found, p9_statistics)}
-SQL: dict[str, str] = {}
+_GROUP, _ENTITY = (f"nullif(lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')), '')" for c in ('"group"', "entity"))
+
+SQL: dict[str, str] = {
+    "p3_found": f"""
+        WITH RECURSIVE p AS (SELECT {_GROUP} AS g, CASE WHEN regexp_full_match({_ENTITY}, 'e[0-9]+') THEN {_ENTITY} END AS e, time FROM decisions WHERE {_GROUP} IS NOT NULL),
+        low AS (SELECT e, min(g) AS a FROM p WHERE e IS NOT NULL GROUP BY e),
+        edges AS (SELECT DISTINCT a, g AS b FROM p JOIN low USING (e) WHERE a <> g), both_ AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+        reach AS (SELECT DISTINCT g, g AS r FROM p UNION SELECT b, r FROM reach JOIN both_ ON g = a),
+        roots AS (SELECT g, min(r) AS root FROM reach GROUP BY g),
+        s AS (SELECT root FROM p JOIN roots USING (g) WHERE time IS NOT NULL GROUP BY root HAVING min(time) < '{SPLIT_TIME}' AND max(time) >= '{SPLIT_TIME}')
+        SELECT root AS root_group, g AS group_key FROM roots WHERE g <> root AND root IN (SELECT root FROM s)""",
+    "p4_found": r"""
+        WITH r AS (SELECT DISTINCT id, title, text FROM postmortems WHERE text IS NOT NULL),
+        o AS (SELECT id, text FROM r WHERE length(CASE WHEN title IS NULL THEN text ELSE title || '. ' || text END) > 1500),
+        s AS (SELECT id, unnest(string_split(regexp_replace(text, '([.!?]\s|\n|。)', '\1' || chr(1), 'g'), chr(1))) AS part FROM o)
+        SELECT id, CASE WHEN max(length(part)) > 1500 THEN 'unbreakable' ELSE 'oversized' END AS kind FROM s GROUP BY id""",
+}
