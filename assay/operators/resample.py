@@ -14,6 +14,9 @@ from assay.functions.prob import MIN_GROUPS
 from assay.operators.ordinal import with_ordinal
 from assay.sources.tables import cut
 
+# Labels that every interval carries.
+CI_METHOD, CI_CAVEAT = "percentile", "heavy_tailed_undercoverage"
+
 
 def group_stats(df: DataFrame, key: Column, num: Column, den: Column, by: list[str] | None = None) -> DataFrame:
     """(by..., key, num, den): sums per group; rows with a null numerator count in neither."""
@@ -53,7 +56,8 @@ def interval(reps: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def ratio_ci(df: DataFrame, key: Column, num: Column, den: Column, *, by: list[str] | None = None, iters: int = 2000, seed: int = 42, scale: float = 1.0, null_value: float = 0.0) -> DataFrame:
-    """(by..., n, n_groups, estimate, lo, hi, reliable, robust_positive, robust_negative): a ratio of sums and its interval.
+    """(by..., n, n_groups, estimate, lo, hi, reliable, robust_positive, robust_negative, ci_method, ci_caveat): a ratio
+    of sums and its interval.
 
     Reliable from 30 groups on; robust only if reliable and the interval lies on one side of null_value. No rows give no
     result. The percentile interval is too narrow for heavy tails and few groups."""
@@ -64,4 +68,4 @@ def ratio_ci(df: DataFrame, key: Column, num: Column, den: Column, *, by: list[s
     ci = interval(replicates(stats.drop("rows"), iters, seed, by), by).withColumns({"lo": F.col("lo") * scale, "hi": F.col("hi") * scale})
     out = point.join(ci, by) if by else point.join(F.broadcast(ci))
     reliable = F.col("n_groups") >= MIN_GROUPS
-    return out.withColumns({"reliable": reliable, "robust_positive": (F.col("lo") > null_value) & reliable, "robust_negative": (F.col("hi") < null_value) & reliable})
+    return out.withColumns({"reliable": reliable, "robust_positive": (F.col("lo") > null_value) & reliable, "robust_negative": (F.col("hi") < null_value) & reliable, "ci_method": F.lit(CI_METHOD), "ci_caveat": F.lit(CI_CAVEAT)})

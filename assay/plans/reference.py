@@ -71,7 +71,7 @@ def _mean_sql(source: str, key: str, value: str, by: str = "", iters: int = 2000
         stats AS (SELECT {b}key, sum(v) AS num, count(*)::DOUBLE AS den, count(*) AS c FROM r GROUP BY {b}key), {_boot("stats", by, iters)},
         p AS (SELECT {b}sum(c)::BIGINT AS n, count(*) AS n_groups, sum(num) / sum(den) AS estimate FROM stats {"GROUP BY " + by if by else ""})
         SELECT {b}n, n_groups, round(estimate, 6) AS estimate, round(lo, 6) AS lo, round(hi, 6) AS hi, n_groups >= 30 AS reliable,
-               lo > 0 AND n_groups >= 30 AS robust_positive, hi < 0 AND n_groups >= 30 AS robust_negative
+               lo > 0 AND n_groups >= 30 AS robust_positive, hi < 0 AND n_groups >= 30 AS robust_negative, 'percentile' AS ci_method, 'heavy_tailed_undercoverage' AS ci_caveat
         FROM p {f"JOIN ci USING ({by})" if by else ", ci"}"""
 
 
@@ -105,7 +105,7 @@ def mean_ci_strata(spark, d):
     WITH {_D}, r AS (SELECT {_KEY} AS key, cost, CASE WHEN isfinite(coalesce(payoff, outcome)) THEN coalesce(payoff, outcome) ELSE 0 END AS paid FROM d WHERE isfinite(cost) AND cost > 0),
     stats AS (SELECT key, sum(paid) AS num, sum(cost) AS den, count(*) AS c, sum((paid > 0)::INT) AS h FROM r GROUP BY key), {_boot("stats", iters=1000, scale="100")},
     p AS (SELECT sum(c)::BIGINT AS n, count(*) AS n_groups, 100 * sum(num) / sum(den) AS estimate, sum(h)::BIGINT AS hits FROM stats)
-    SELECT n, n_groups, round(estimate, 6) AS estimate, round(lo, 6) AS lo, round(hi, 6) AS hi, n_groups >= 30 AS reliable, lo > 100 AND n_groups >= 30 AS robust_positive, hi < 100 AND n_groups >= 30 AS robust_negative, hits FROM p, ci""")
+    SELECT n, n_groups, round(estimate, 6) AS estimate, round(lo, 6) AS lo, round(hi, 6) AS hi, n_groups >= 30 AS reliable, lo > 100 AND n_groups >= 30 AS robust_positive, hi < 100 AND n_groups >= 30 AS robust_negative, 'percentile' AS ci_method, 'heavy_tailed_undercoverage' AS ci_caveat, hits FROM p, ci""")
 def roi_ci_decisions(spark, d):
     """Return of the decisions acted on."""
     return rounded(intervals.roi_ci(decisions(spark, d), _key(), F.col("cost"), F.coalesce("payoff", "outcome"), iters=1000))
