@@ -67,6 +67,16 @@ def test_replicates_dont_depend_on_partitions(spark):
     assert [tuple(round(x, 9) for x in r) for r in a] == [tuple(round(x, 9) for x in r) for r in b]
 
 
+def test_poisson_agrees(spark):
+    rnd = random.Random(7)
+    df = rows(spark, [(f"g{i % 300}", rnd.gauss(1, 2)) for i in range(3000)])
+    a, b = (one(intervals.mean_ci(df, G, V, iters=1000, method=m)) for m in ("draws", "poisson"))
+    assert a.estimate == pytest.approx(b.estimate) and abs(a.lo - b.lo) < 0.03 and abs(a.hi - b.hi) < 0.03
+    again = one(intervals.mean_ci(df.repartition(7), G, V, iters=1000, method="poisson"))
+    assert again.lo == pytest.approx(b.lo)
+    assert intervals.mean_ci(rows(spark, []), G, V, iters=50, method="poisson").count() == 0
+
+
 def test_mean_weighs_groups_by_rows(spark):
     r = one(intervals.mean_ci(rows(spark, [("a", 1.0)] * 9 + [("b", 11.0)]), G, V, iters=50))
     assert r.estimate == 2.0
