@@ -129,14 +129,14 @@ def citation_check(df: DataFrame, answer: str, retrieved: str, gold: str, trap:
     """Adds n_cited, out_of_range, cited_docs, refused, precision, recall, citation_ok.
 
     Citations are distinct [n] counted from 1 into the retrieved documents. A trap is right if refused, or if it cites
-    retrieved documents only; other answers are right with a precision of 1 and some recall."""
+    gold documents and no others; other answers are right with a precision of 1 and some recall."""
     nums = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(r"\[(\d{1,6})\]"), 1), lambda x: x.cast("int")))
     df = df.withColumns({"_nums": nums, "_got": F.coalesce(retrieved, F.array().cast("array<string>")), "_gold": F.coalesce(gold, F.array().cast("array<string>"))})
     inside = F.filter("_nums", lambda x: (x >= 1) & (x <= F.size("_got")))
     df = df.withColumns({"n_cited": F.size("_nums"), "out_of_range": F.size("_nums") - F.size(inside), "cited_docs": F.array_sort(F.array_distinct(F.transform(inside, lambda x: F.get("_got", x - 1)))), "refused": F.lower(F.coalesce(answer, F.lit(""))).rlike(refusal)})
     hit = F.size(F.array_intersect("cited_docs", "_gold"))
     df = df.withColumns({"precision": F.when(~trap, F.coalesce(F.try_divide(hit, F.size("cited_docs")), F.lit(0.0))), "recall": F.when(~trap, F.coalesce(F.try_divide(hit, F.size(F.array_distinct("_gold"))), F.lit(0.0)))})
-    ok = F.when(trap, F.col("refused") | ((F.size("cited_docs") > 0) & (F.col("out_of_range") == 0))).otherwise((F.col("precision") == 1) & (F.col("recall") > 0))
+    ok = F.when(trap, F.col("refused") | ((F.size("cited_docs") > 0) & (F.size(F.array_except("cited_docs", "_gold")) == 0))).otherwise((F.col("precision") == 1) & (F.col("recall") > 0))
     return df.withColumn("citation_ok", ok).drop("_nums", "_got", "_gold")
 
 

@@ -430,8 +430,8 @@ def citation_summary_answers(spark, d):
 
 @query(f"WITH {_A}, {_LONG} SELECT rater, ok AS machine_ok, count(*) AS n, round(avg(score), 6) AS mean FROM v JOIN o ON v.item = o.id WHERE axis = 'citation' GROUP BY ALL")
 def citation_vs_machine(spark, d):
-    """Mean citation score of each judge on the answers that the machine check passes, and on the others."""
-    ok = _cited(spark, d).select(F.col("id").alias("item"), F.col("citation_ok").alias("machine_ok"))
+    """Mean citation score of each judge on the answers that the machine check passes, and on the others; traps are in neither."""
+    ok = _cited(spark, d).filter("type is distinct from 'unanswerable'").select(F.col("id").alias("item"), F.col("citation_ok").alias("machine_ok"))
     return rounded(_judged(spark, d).filter("axis = 'citation'").join(ok, "item").groupBy("rater", "machine_ok").agg(F.count("*").alias("n"), F.avg("score").alias("mean")))
 
 

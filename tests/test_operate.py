@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assay.operators import action, evaluate, gate, leak, retrieve
+from assay.plans import reference
 from assay.sources import records
 from assay.streaming import monitor
 
@@ -136,6 +137,20 @@ def test_citations(spark):
     assert out[1].out_of_range == 1 and out[1].precision == 0
 
 
+def test_citations_of_traps(spark):
+    data = [("A [1].", ["a", "b"], ["a"]), ("B [2].", ["a", "b"], ["a"]), ("A [1] [2].", ["a", "b"], ["a"]), ("A [1] [9].", ["a", "b"], ["a"]), ("A [1].", ["a"], []), ("A [1].", ["a"], None), ("No.", ["a"], ["a"])]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(data)], "i int, answer string, got array<string>, gold array<string>")
+    out = retrieve.citation_check(df, "answer", F.col("got"), F.col("gold"), F.lit(True)).orderBy("i").collect()
+    assert [r.citation_ok for r in out] == [True, False, False, True, False, False, False]
+
+
+def test_traps_are_not_compared_with_judges(spark, tmp_path):
+    rows = [("q1", "x", "A [1].", ["a"], ["a"]), ("q2", "unanswerable", "A [1].", ["a"], ["a"]), ("q3", None, "B.", ["a"], ["a"])]
+    spark.createDataFrame([(i, t, "q", a, r, g) for i, t, a, r, g in rows], "id string, type string, question string, answer string, retrieved_doc_ids array<string>, gold_doc_ids array<string>").write.parquet(f"{tmp_path}/answers_gemini.parquet")
+    spark.createDataFrame([(i, t, "j", 1, "2", "2", "2") for i, t, *_ in rows], "id string, type string, _judge string, judged_at int, faithfulness string, citation string, coverage string").write.parquet(f"{tmp_path}/judged_gemini_by_gemini.parquet")
+    assert {(r.machine_ok, r.n) for r in reference.citation_vs_machine(spark, str(tmp_path)).collect()} == {(True, 1), (False, 1)}
+
+
 def test_judgement(spark):
     df = spark.createDataFrame([('ok {"a": 1} bye',), ("none",), ("{broken",)], "t string")
     assert [r[0] for r in df.select(F.try_variant_get(retrieve.parse_judgement(F.col("t")), "$.a", "int")).collect()] == [1, None, None]
