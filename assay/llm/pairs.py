@@ -111,13 +111,30 @@ def tokens(text: str) -> list[str]:
 
 
 def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], (last + 1 if x == y else max(row[j], row[j - 1]))
-    return row[-1]
+    """Length of the longest common subsequence, by one bit a token of a; what both begin and end with is counted first."""
+    least = min(len(a), len(b))
+    head = next((i for i in range(least) if a[i] != b[i]), least)
+    tail = next((i for i in range(least - head) if a[-1 - i] != b[-1 - i]), least - head)
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    places: dict[str, list[int]] = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    full, kept = (1 << len(a)) - 1, {}
+    row = full
+    for y in b:
+        if y not in places:
+            continue
+        mask = kept.get(y)
+        if mask is None:
+            bits = bytearray(len(a) // 8 + 1)
+            for i in places[y]:
+                bits[i >> 3] |= 1 << (i & 7)
+            mask = int.from_bytes(bits, "little")
+            if len(kept) * len(bits) < 1 << 25:  # the masks of all words of a long text would be large
+                kept[y] = mask
+        both = row & mask
+        row = ((row + both) | (row - both)) & full
+    return head + tail + len(a) - row.bit_count()
 
 
 _PLANS = [(t, [w for w in re.findall(r"[^\W_]+(?:'[^\W_]+)*", t)], t.count("*")) for t in REFUSALS]
@@ -144,9 +161,6 @@ def is_copy(question: list[str], answer: list[str]) -> bool:
         return False
     pairs = lambda w: set(zip(w, w[1:]))
     q = pairs(question)
-    if len(question) > 400:  # alignment is quadratic; shingles both ways say as much of long texts
-        a = pairs(answer)
-        return len(q & a) >= 0.8 * max(len(q), len(a))
     return len(q & pairs(answer)) >= 0.6 * len(q) and lcs(question, answer) >= 0.8 * max(len(question), len(answer))
 
 

@@ -1,4 +1,6 @@
-from assay.llm.pairs import broken_off, evidence, judge, pair_defects, tail
+import random
+
+from assay.llm.pairs import broken_off, evidence, is_copy, judge, lcs, pair_defects, tail
 
 Q = "Why was the mail relay run by Nooroufoult unavailable on 5 February 2018?"
 DE = "Warum war der Dienst Bikeark im Jahr 2024 für 17 Minuten nicht erreichbar?"
@@ -59,3 +61,23 @@ def test_held_out_truncations(spark):
     got = {(r.src, r.id) for r in pair_defects(spark.createDataFrame(rows, "src string, id string, question string, answer string, type string")).collect()}
     cuts = len(whole[::7])
     assert not any(s in ("w", "s") for s, _ in got) and sum(s == "c" for s, _ in got) >= 0.9 * cuts
+
+
+def test_copies_of_any_length():
+    rnd = random.Random(7)
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], (last + 1 if x == y else max(row[j], row[j - 1]))
+        return row[-1]
+
+    for _ in range(300):
+        a, b = (rnd.choices("abcde", k=rnd.randint(0, 30)) for _ in "ab")
+        assert lcs(a, b) == longest(a, b), (a, b)
+    for n in (80, 400, 401, 3000):
+        asked = [f"w{i}" for i in range(n)]
+        assert is_copy(asked, [f"x{i}" if i % 8 == 4 else w for i, w in enumerate(asked)]), n
+        assert not is_copy(asked, asked[n // 2 :] + asked[: n // 2]), n
