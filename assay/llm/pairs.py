@@ -1,9 +1,9 @@
 """Defects of prompt and response pairs: empty, copied, refused, in another language, or broken off.
 
 Copies are found by aligning response and prompt: shingle containment first, then the longest common subsequence of
-their tokens. Refusals are found by aligning the response with refusal templates in the same way; what the template's
-slots may take is bounded, so that an answer which only begins like a refusal is none. Whether a response without a
-final stop is broken off is decided by how often its last words end a sentence, or go on, in all responses.
+their tokens. Refusals are found by aligning the response, or its sentences, with refusal templates in the same way. A
+sentence's slots take any number of words, but an answer that turns to something else (but, however), or has a sentence
+besides that is neither a refusal nor a remark on one, is none. Whether a response without a final stop is broken off is decided by how often its last words end a sentence, or go on, in all responses.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from assay.sources.tables import cut
 
-# Refusal templates; * takes up to eight words.
+# Refusal templates; * takes up to eight words of a whole response, any number in a sentence.
 REFUSALS = """
 i don't know
 i do not know
@@ -38,6 +38,7 @@ it would not be appropriate for me to *
 unfortunately the sources are silent on what happened at * no answer is possible
 nothing in the * refers to * i therefore cannot say
 nothing in the * speaks of * i therefore cannot say
+nothing in the * i therefore cannot say
 i do not have any details about * so i am unable to answer
 i do not have enough information to answer
 no comment can be made on *
@@ -152,6 +153,73 @@ def is_refusal(words: list[str]) -> bool:
     return False
 
 
+# Words by which a sentence turns to an answer, and how remarks on a refusal begin, or what they speak of.
+_TURN = frozenset("but however yet although though except whereas nevertheless nonetheless instead only".split())
+_REMARK = re.compile(
+    r"(?:please|sorry|apologies|thanks|thank you|let me know|feel free|if (?:you|more|further|additional)|(?:perhaps|maybe) you|you (?:may|might|could|can|should|would|will) (?:want|need|wish|try|ask|check|consult|contact|find|like|have)"
+    r"|(?:i|we)(?:'m| am| are) (?:very |truly )?(?:sorry|afraid|unable)|(?:i|we) apologi[sz]e|(?:i|we)(?:'d| would) (?:need|rather not)|(?:i|we) (?:cannot|can't|do not|don't) (?:help|say|tell|answer|speculate|guess))\b"
+)
+_SOURCES = frozenset("documents document context passages passage sources source excerpts excerpt notes information material materials texts records".split())
+_NONE = frozenset("no not none nothing neither nor without don't doesn't cannot can't isn't aren't".split())
+
+
+def _aligned(items: list[str], n: int, slots: int, words: list[str]) -> bool:
+    """A template's items (* a slot) against a sentence: at most 0.15 of its n words missing, and few words outside of the slots."""
+    if sum(w in _TURN for w in words) > sum(w in _TURN for w in items):
+        return False
+    lost, most, far = int(0.15 * n), (2 if slots else int(0.35 * n) + 1), len(words) + n
+
+    def skip(state: list[list[int]]) -> list[list[int]]:
+        for i, item in enumerate(items):
+            for m in range(lost + 1):
+                if item == "*":
+                    state[i + 1][m] = min(state[i + 1][m], state[i][m])
+                elif m < lost:
+                    state[i + 1][m + 1] = min(state[i + 1][m + 1], state[i][m])
+        return state
+
+    # state[i][m]: fewest words outside of slots, with i items used and m of them missing.
+    state = [[far] * (lost + 1) for _ in range(len(items) + 1)]
+    state[0][0] = 0
+    state = skip(state)
+    for w in words:
+        new = [[x + (i == len(items) or items[i] != "*") for x in row] for i, row in enumerate(state)]
+        for i, item in enumerate(items):
+            if item == w:
+                new[i + 1] = [min(x, y) for x, y in zip(new[i + 1], state[i])]
+        state = skip(new)
+    return min(state[-1]) <= most
+
+
+_ITEMS = [(re.findall(r"[^\W_]+(?:'[^\W_]+)*|\*", t), len(plan), slots, frozenset(plan)) for t, plan, slots in _PLANS]
+
+
+def _matches(run: list[list[str]]) -> bool:
+    """Some template is aligned with the sentences; a slot at its end takes nothing of a second sentence."""
+    words = [w for x in run for w in x]
+    here = set(words)
+    return any(
+        len(own & here) + n - len(own) >= 0.85 * n and (len(run) == 1 or items[-1] != "*") and _aligned(items, n, slots, words)
+        for items, n, slots, own in _ITEMS
+    )
+
+
+def declines(said: str) -> bool:
+    """Every sentence belongs to a refusal or is a remark on one, and there is a refusal."""
+    parts = [x for x, _ in _parts(said) if re.search(r"[^\W_]", x)]
+    i, refused = 0, False
+    while i < len(parts):
+        run = [tokens(x) for x in parts[i : i + 2]]
+        # A second sentence may be a template's end, so two are tried first.
+        k = next((k for k in (2, 1) if k <= len(run) and _matches(run[:k])), 0)
+        if not k:
+            here = set(run[0])
+            if here & _TURN or not (_REMARK.match(" ".join(run[0])) or here & _SOURCES and here & _NONE):
+                return False
+        refused, i = refused or k > 0, i + max(k, 1)
+    return refused
+
+
 def is_copy(question: list[str], answer: list[str]) -> bool:
     """The question again, once or several times, and nothing more: most of its shingles, and a long common subsequence."""
     times = round(len(answer) / len(question)) if question else 0
@@ -269,7 +337,7 @@ def judge(question: str | None, answer: str | None, kind: str | None) -> tuple[s
     q, a = tokens(bare(question)), tokens(said)
     if is_copy(tokens(body(bare(question))), a) or is_copy(q, a):
         return "copy", []
-    if is_refusal(a):
+    if is_refusal(a) or declines(said):
         return (None if kind == "unanswerable" else "refusal"), []
     of, n = language(said)
     asked, m = language(bare(question))

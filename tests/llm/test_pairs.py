@@ -81,3 +81,17 @@ def test_copies_of_any_length():
         asked = [f"w{i}" for i in range(n)]
         assert is_copy(asked, [f"x{i}" if i % 8 == 4 else w for i, w in enumerate(asked)]), n
         assert not is_copy(asked, asked[n // 2 :] + asked[: n // 2]), n
+
+
+def test_refusals_of_any_length():
+    subject = "the outage of the mail relay run by Nooroufoult on 5 February 2018"
+    for a in [
+        "Nothing in the excerpts covers Faifeanairk. I therefore cannot say.", f"I have no information about {subject}.", f"I have no information about {subject}, or about any of the other services that depend on it.",
+        "I don't know. Please check the incident report of the team that runs the relay.", f"I have no information about {subject}. The passages do not name the service. Let me know if you have further material.",
+    ]:
+        assert judge(Q, a, "factoid_cause")[0] == "refusal", a
+    for a in [
+        f"I have no information about {subject}, but the exports failed because the column was widened after a two hour copy.", "I don't know the exact minute. A retention job was started with the wrong prefix, and exports failed.",
+        f"I have no information about {subject}. A retention job was started with the wrong prefix, and nightly exports produced empty files.",
+    ]:
+        assert judge(Q, a, "factoid_cause")[0] is None, a
