@@ -26,13 +26,13 @@ _LETTER = r"\p{L}"
 _WORD = r"(?<![\p{L}\p{N}_])\p{L}+(?:['’]\p{L}+){0,9}(?![\p{L}\p{N}_])"
 _PATTERNS = {
     # Parts of the text, as patterns of whole lines.
-    "bar": r"(?m)^[^|\n]{0,60}(?:\|[^|\n]{0,60}){2,200}$",
-    "tab": r"(?m)^[^\t\n]{0,60}(?:\t[^\t\n]{0,60}){1,200}$",
-    "separated": r"(?m)^[^,;\n]{0,40}(?:[;,](?![ \n])[^,;\n]{0,40}){2,200}$|^[^;\n]{1,40}(?:; ?[^;\n]{0,40}){3,200}$",
-    "aligned": r"(?m)^ *\S+(?: \S+){0,2}(?: {2,}\S+(?: \S+){0,2}){2,200} *$",
+    "bar": r"(?m)^[^|\n]{0,60}(?:\|[^|\n]{0,60}+){2,200}+$",
+    "tab": r"(?m)^[^\t\n]{0,60}(?:\t[^\t\n]{0,60}+){1,200}+$",
+    "separated": r"(?m)^[^,;\n]{0,40}(?:[;,](?![ \n])[^,;\n]{0,40}+){2,200}+$|^[^;\n]{1,40}(?:; ?+[^;\n]{0,40}+){3,200}+$",
+    "aligned": r"(?m)^ *+\S++(?: \S++){0,2}+(?: {2,}+\S++(?: \S++){0,2}+){2,}+ *$",
     "border": r"(?m)^[ +|:=-]*[+|=-]{3}[ +|:=-]*$",
     "html": r"(?m)^.*</?t(?:able|head|body|r|d|h)\b.*$",
-    "ampersand": r"(?m)^[^&\n]{1,60}(?: & [^&\n]{0,60}){2,200}$",
+    "ampersand": r"(?m)^[^&\n]{1,61}+(?:(?<= )& [^&\n]{0,61}+){2,200}+$",
     "marked": r"(?m)^\s*(?:[-*•+–‣◦▪·]|\(?\d{1,4}[.)]|\(?[a-zA-Z][.)]|\[[ xX✓]?\]|[☐☑✓])\s+\S.{0,160}$",
     "keyed": r"(?m)^\s*[\p{L}\p{N}_.-]{2,30}: \S.{0,90}(?<![.!?。])$",
     "brief": r"(?m)^(?=.{2,72}$)[^|\t\n]*[^\s.!?:;,。|]$",
@@ -44,6 +44,31 @@ _PATTERNS = {
     "kana": r"[぀-ヿ一-鿿、。]+",
 }
 
+# Separators of cells of any length, and how many a row has at least. Marks of entries of any length.
+_SEPARATORS = {"bar": (r"\|", 2), "tab": (r"(?<=\S)\t", 1), "separated": (r"[;,](?![ \n]|$)", 2), "ampersand": (r" & ", 2)}
+_MARKS = {
+    "marked": r"^\s*(?:[-*•+–‣◦▪·]|\(?\d{1,4}[.)]|\(?[a-zA-Z][.)]|\[[ xX✓]?\]|[☐☑✓])\s+\S",
+    "keyed": r"^\s*[\p{L}\p{N}_.-]{2,30}: \S.*(?<![.!?。])$",
+}
+#: Lines alike from which long cells make rows and long entries a list; fewer are taken for sentences with such signs.
+LEAST_LINES = 3
+
+
+def _long_rows(separator: str, least: int) -> Column:
+    """Share of the text in lines with the most frequent number of separators, if most lines with that many at least have it."""
+    of = F.filter(F.transform("ls", lambda x: F.struct(F.regexp_count(x, F.lit(separator)).alias("k"), F.length(x).alias("n"))), lambda x: x["k"] >= least)
+    ks = F.array_sort(F.transform(of, lambda x: x["k"]))
+    # A number that most lines have is the median of the numbers.
+    mid = F.get(ks, F.floor(F.size(ks) / 2).cast("int"))
+    same = F.filter(of, lambda x: x["k"] == mid)
+    chars = F.aggregate(same, F.lit(0), lambda a, x: a + x["n"])
+    return F.when((F.size(same) >= LEAST_LINES) & (2 * F.size(same) > F.size(of)), F.try_divide(chars, F.length("t")).cast("double")).otherwise(0.0)
+
+
+def _long_entries(mark: str) -> Column:
+    own = F.filter("ls", lambda x: x.rlike(mark))
+    return F.when(F.size(own) >= LEAST_LINES, F.try_divide(F.aggregate(own, F.lit(0), lambda a, x: a + F.length(x)), F.length("t")).cast("double")).otherwise(0.0)
+
 
 def _share(text: Column, pattern: str) -> Column:
     return F.try_divide(F.length(text) - F.length(F.regexp_replace(text, pattern, "")), F.length(text)).cast("double")
@@ -51,8 +76,9 @@ def _share(text: Column, pattern: str) -> Column:
 
 def text_statistics(df: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id with its statistics: n_chars, n_words, n_lines, mean_word_length, symbol_ratio, digit_ratio, closed_lines (share
-    of lines ending in punctuation), common_words, distinct_words, odd_words (without plausible vowels), mean_line_words, tab_lines,
-    and the share of the text in lines or runs of each pattern. Of a null or empty text counts are 0 and shares null.
+    of lines ending in punctuation), common_words, distinct_words, odd_words (without plausible vowels), mean_line_words, tab_lines, tabbed_lines (with cells of any length),
+    and the share of the text in lines or runs of each pattern. Cells and entries over the patterns' lengths count where at
+    least three lines are alike: with the same number of separators, or a mark. Of a null or empty text counts are 0 and shares null.
     Repeated ids give repeated rows; other columns are ignored."""
     t = F.col("t")
     rows = df.select(F.col(id).alias("id"), F.coalesce(F.regexp_replace(F.col(text), "\r", ""), F.lit("")).alias("t"))
@@ -78,28 +104,34 @@ def text_statistics(df: DataFrame, *, id: str = "doc_id", text: str = "text") ->
         "mean_line_words": F.try_divide(n, lines),
         "tab_lines": F.regexp_count(t, F.lit(_PATTERNS["tab"])),
     }
-    return rows.select("id", *(c.alias(k) for k, c in stats.items()), *(_share(t, p).alias(f"in_{k}") for k, p in _PATTERNS.items()))
+    rows = rows.withColumn("ls", F.split(t, "\n"))
+    shares = {k: _share(t, p) for k, p in _PATTERNS.items()}
+    far = {k: _long_rows(*x) for k, x in _SEPARATORS.items()} | {k: _long_entries(m) for k, m in _MARKS.items()}
+    shares |= {k: F.when(shares[k].isNotNull(), F.greatest(shares[k], x)) for k, x in far.items()}
+    return rows.select("id", *(c.alias(k) for k, c in stats.items()), F.size(F.filter("ls", lambda x: x.rlike(r"\S\t"))).alias("tabbed_lines"), *(c.alias(f"in_{k}") for k, c in shares.items()))
 
 
 def labelling_functions() -> dict[str, Column]:
     """Thresholds on the statistics: the type voted for, or null."""
     c = lambda name: F.coalesce(F.col(name), F.lit(0.0))
-    tabs = F.when(c("tab_lines") >= 3, c("in_tab")).otherwise(0.0)  # a line or two with tabs for blanks are no rows
+    tabs = F.when(F.greatest(c("tab_lines"), c("tabbed_lines")) >= 3, c("in_tab")).otherwise(0.0)  # a line or two with tabs for blanks are no rows
     cells = F.greatest(tabs, *(c(f"in_{k}") for k in ("bar", "separated", "aligned", "html", "ampersand")))
     noisy = (c("symbol_ratio") > 0.22) & (cells < 0.5)
     clean = (c("symbol_ratio") < 0.15) & (c("in_hexwords") < 0.3)
     entries = F.greatest(c("in_marked"), c("in_keyed"))
+    # Words repeat more in longer texts: beyond 3,000 words the least number of different ones grows with the root only.
+    low = c("distinct_words") < 0.02 * F.least(F.lit(1.0), F.sqrt(F.lit(3000.0) / F.greatest(c("n_words"), F.lit(1.0))))
     return {
         "cells": F.when(cells + c("in_border") > 0.5, "table"),
         "numbers": F.when((c("digit_ratio") > 0.15) & (c("closed_lines") < 0.3) & (c("n_lines") >= 3) & (cells > 0.3), "table"),
         "entries": F.when((entries > 0.5) & (cells < 0.5), "list"),
         "brief": F.when((c("in_brief") > 0.5) & (c("n_lines") >= 4) & (cells < 0.5) & (c("common_words") < 0.35) & (c("mean_line_words") < 9), "list"),
-        "common": F.when((c("common_words") >= 0.18) & (c("distinct_words") > 0.02) & clean, "prose").when(c("common_words") < 0.03, "junk"),
+        "common": F.when((c("common_words") >= 0.18) & ~low & clean, "prose").when(c("common_words") < 0.03, "junk"),
         "closed": F.when((c("in_closed") > 0.5) & (c("common_words") > 0.08) & clean, "prose"),
-        "running": F.when((c("mean_line_words") >= 12) & (c("common_words") >= 0.12) & (cells < 0.5) & clean, "prose"),
+        "running": F.when((c("mean_line_words") >= 12) & (c("common_words") >= 0.12) & (cells < 0.5) & (entries < 0.5) & clean, "prose"),
         "symbols": F.when(noisy, "junk"),
         "odd": F.when((c("odd_words") > 0.3) | (c("in_unbroken") > 0.5) & (c("in_kana") < 0.3) & (cells < 0.5) | (c("in_mangled") > 0.4) | (c("in_hexwords") > 0.4), "junk"),
-        "cycle": F.when((c("in_cycle") > 0.5) & (cells < 0.3) | (c("n_words") >= 20) & (c("distinct_words") < 0.02) & (c("n_chars") < 20000), "junk"),
+        "cycle": F.when((c("in_cycle") > 0.5) & (cells < 0.3) | (c("n_words") >= 20) & low, "junk"),
         "wordless": F.when((c("n_words") == 0) & (cells < 0.5) & (c("in_kana") < 0.3), "junk"),
     }
 

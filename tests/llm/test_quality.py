@@ -54,3 +54,21 @@ def test_learning(spark):
     post = learn([(("prose", *none[1:]), 50), (("prose", "prose", *none[2:]), 50), (("junk", "junk", *none[2:]), 10)])
     assert post[("junk", "junk", *none[2:])].argmax() == 3 and post[("prose", *none[1:])].argmax() == 0
     assert learn([]) == {}
+
+
+def test_long_cells_and_entries(spark):
+    long = "The first page went to the billing team at noon and the alerts of the service arrived late in the east"
+    words = "search index login gateway mail relay check replica noisy shard mirror tenant ledger".split()
+    texts = {
+        "in_bar": "\n".join(f"| {w} | {long} {w} | {i} |" for i, w in enumerate(words)), "in_tab": "\n".join(f"{w}\t{long} {w}\t{i}" for i, w in enumerate(words)),
+        "in_separated": "\n".join(f"{w},{long} {w},{i}" for i, w in enumerate(words)), "in_marked": "\n".join(f"- {long} {w} and then {long.lower()}." for w in words),
+        "in_keyed": "\n".join(f"{w}: {long} {w}" for w in words), "wide": "\n".join("|".join(str(i) for i in range(300)) for _ in range(4)),
+    }
+    prose = "\n".join([PROSE * 3] * 4) + "\n\tIt said\tso; and; so; on\n"
+    df = spark.createDataFrame([*texts.items(), ("prose", prose)], "doc_id string, text string")
+    got = {r.id: r for r in text_statistics(df).collect()}
+    for k in texts:
+        assert got[k]["in_bar" if k == "wide" else k] > 0.9, k
+    assert all(got["prose"][k] < 0.2 for k in ("in_bar", "in_tab", "in_separated", "in_marked", "in_keyed"))
+    many = spark.createDataFrame([("few", " ".join(rnd) * 1) for rnd in [random.Random(3).choices(words, k=9000)]], "doc_id string, text string")
+    assert [r.v for r in text_statistics(many).select(labelling_functions()["cycle"].alias("v")).collect()] == ["junk"]
