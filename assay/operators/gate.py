@@ -54,3 +54,11 @@ def completeness_gate(records: DataFrame, id: str, required: list[str], optional
     rows = rows.select("check", "field", "n", (F.col("gates") & (F.col("n") > 0)).alias("fails"))
     verdict = rows.agg(F.sum(F.col("fails").cast("bigint")).alias("n")).select(F.lit("passed").alias("check"), F.lit(None).cast("string").alias("field"), "n", (F.col("n") > 0).alias("fails"))
     return rows.unionByName(verdict)
+
+
+def verdicts(measures: DataFrame, bounds: dict[str, tuple[str, float]]) -> DataFrame:
+    """(check, value, side, bound, passed) from one row of measures: most, at most the bound; least, at least it. A null fails."""
+    known = F.explode(F.array(*(F.struct(F.lit(k).alias("check"), F.col(k).cast("double").alias("value"), F.lit(side).alias("side"), F.lit(float(v)).alias("bound")) for k, (side, v) in bounds.items())))
+    rows = measures.select(known.alias("m")).select("m.*")
+    ok = F.when(F.col("side") == "most", F.col("value") <= F.col("bound")).otherwise(F.col("value") >= F.col("bound"))
+    return rows.withColumn("passed", F.coalesce(ok, F.lit(False)))

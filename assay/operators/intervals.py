@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assay.functions.prob import POWER_COEF, finite, guarded_skewness
 from assay.operators.ordinal import with_ordinal
 from assay.operators.resample import ratio_ci
+from assay.sources.tables import cut
 
 
 def mean_ci(df: DataFrame, key: Column, value: Column, **how) -> DataFrame:
@@ -33,26 +34,34 @@ def _radius(n: Column, sigma: Column, alpha: float, rho: float) -> Column:
 
 
 def confidence_sequence(df: DataFrame, value: Column, *, by: list[str] | None = None, alpha: float = 0.1, sigma: float | None = None, rho: float = 0.5) -> DataFrame:
-    """(by..., n, mean, lo, hi, degenerate, decided, validity) after all values, valid at any time of looking.
+    """(by..., n, mean, sigma, radius, lo, hi, degenerate, robust_positive, robust_negative, decided, validity) after all
+    values, valid at any time of looking.
 
     With sigma given the guarantee holds for finite samples; else the population deviation stands in, and fewer than two
     values or no spread are degenerate: no bounds, undecided."""
     stats = df.filter(finite(value)).groupBy(*(by or [])).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd")).filter("n > 0")
-    return _sequence(stats, alpha, sigma, rho).drop("sd")
+    return _sequence(stats, alpha, sigma, rho)
 
 
 def _sequence(stats: DataFrame, alpha: float, sigma: float | None, rho: float) -> DataFrame:
     s = F.lit(float(sigma)) if sigma is not None else F.col("sd")
     degenerate = (F.col("n") < 2) | (s <= 0)
     radius = F.when(~degenerate, _radius(F.col("n"), s, alpha, rho))
-    out = stats.withColumns({"lo": F.col("mean") - radius, "hi": F.col("mean") + radius, "degenerate": degenerate})
-    decided = F.coalesce((F.col("lo") > 0) | (F.col("hi") < 0), F.lit(False))
-    return out.withColumns({"decided": decided, "validity": F.lit("finite_sample" if sigma is not None else "asymptotic")})
+    out = stats.withColumns({"sigma": s, "radius": radius, "degenerate": degenerate}).drop("sd")
+    out = out.withColumns({"lo": F.col("mean") - F.col("radius"), "hi": F.col("mean") + F.col("radius")})
+    out = out.withColumns({"robust_positive": F.coalesce(F.col("lo") > 0, F.lit(False)), "robust_negative": F.coalesce(F.col("hi") < 0, F.lit(False))})
+    return out.withColumns({"decided": F.col("robust_positive") | F.col("robust_negative"), "validity": F.lit("finite_sample" if sigma is not None else "asymptotic")})
 
 
-def sequential_scan(df: DataFrame, value: Column, order: list[str], *, by: list[str] | None = None, alpha: float = 0.1, sigma: float | None = None, rho: float = 0.5, min_n: int = 20, step: int = 10) -> DataFrame:
-    """(by..., n, looks, crossed_at): the sequence looked at after min_n, min_n + step... values in the order given;
-    crossed_at is the first look that decides, or null. Values are summed per step before they are accumulated."""
+#: Looks that are accumulated together before the sums of such runs are.
+LOOKS_PER_RUN = 4096
+
+
+def sequential_checkpoints(df: DataFrame, value: Column, order: list[str], *, by: list[str] | None = None, alpha: float = 0.1, sigma: float | None = None, rho: float = 0.5, min_n: int = 20, step: int = 10) -> DataFrame:
+    """(by..., n, mean, lo, hi, decided, total): the sequence looked at after min_n, min_n + step... values in the order given.
+
+    total is the number of all values. Values are summed per step, steps are accumulated within runs of looks, and runs
+    by their sums, so a key with most values is spread over tasks. Fewer values than min_n give no row."""
     if step < 1:
         raise ValueError("step must be at least 1")
     by, first = by or [], max(1, min_n)
@@ -60,15 +69,31 @@ def sequential_scan(df: DataFrame, value: Column, order: list[str], *, by: list[
     numbered = with_ordinal(rows, order, by=by)
     look = F.greatest(F.lit(0), F.ceil((F.col("ord") + 1 - first) / step)).cast("bigint")
     sums = numbered.withColumn("look", look).groupBy(*by, "look").agg(F.count("*").alias("c"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
-    w = Window.partitionBy(*by).orderBy("look").rowsBetween(Window.unboundedPreceding, 0)
-    run = sums.select(*by, "look", F.sum("c").over(w).alias("n"), F.sum("s").over(w).alias("s"), F.sum("q").over(w).alias("q"))
-    total = run.groupBy(*by).agg(F.max("n").alias("total"))
+    sums = cut(sums.withColumn("run", F.floor(F.col("look") / LOOKS_PER_RUN)))
+    runs = sums.groupBy(*by, "run").agg(*(F.sum(c).alias(c) for c in "csq"))
+    before = Window.partitionBy(*by).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = runs.select(*by, "run", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in "csq"), F.sum("c").over(Window.partitionBy(*by)).alias("total"))
+    w = Window.partitionBy(*by, "run").orderBy("look").rowsBetween(Window.unboundedPreceding, 0)
+    within = sums.select(*by, "run", "look", *(F.sum(c).over(w).alias(c) for c in "csq"))
+    same = F.col("a.run") == F.col("z.run")
+    for b in by:
+        same = same & F.col(f"a.{b}").eqNullSafe(F.col(f"z.{b}"))
+    run = within.alias("a").join(ahead.alias("z"), same).select(*(F.col(f"a.{b}") for b in by), "look", "total", *((F.col(f"a.{c}") + F.col(f"z.{c}0")).alias(c) for c in "csq")).withColumnRenamed("c", "n")
     run = run.filter(F.col("n") == first + F.col("look") * step)
     sd = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - (F.col("s") / F.col("n")) * (F.col("s") / F.col("n"))))
-    looked = _sequence(run.withColumns({"mean": F.col("s") / F.col("n"), "sd": sd}), alpha, sigma, rho)
+    return _sequence(run.withColumns({"mean": F.col("s") / F.col("n"), "sd": sd}), alpha, sigma, rho).select(*by, "n", "mean", "lo", "hi", "decided", "total")
+
+
+def sequential_scan(df: DataFrame, value: Column, order: list[str], *, by: list[str] | None = None, min_n: int = 20, **how) -> DataFrame:
+    """(by..., n, looks, crossed_at) over sequential_checkpoints: crossed_at is the first look that decides, or null.
+
+    A key with fewer than min_n values has no looks; without by, no values give no row."""
+    by = by or []
+    looked = sequential_checkpoints(df, value, order, by=by, min_n=min_n, **how)
     found = looked.groupBy(*by).agg(F.count("*").alias("looks"), F.min(F.when(F.col("decided"), F.col("n"))).alias("crossed_at"))
-    out = total.join(found, by, "left") if by else total.join(F.broadcast(found))
-    return out.filter("total is not null").select(*by, F.col("total").alias("n"), F.coalesce("looks", F.lit(0)).alias("looks"), "crossed_at")
+    total = df.filter(finite(value)).groupBy(*by).agg(F.count("*").alias("n"))
+    out = total.join(found, by, "left") if by else total.filter("n > 0").join(F.broadcast(found), how="left")
+    return out.select(*by, "n", F.coalesce("looks", F.lit(0)).alias("looks"), "crossed_at")
 
 
 def power_roi(df: DataFrame, cost: Column, payoff: Column, *, target: float = 110.0, measurable_n: int = 5000) -> DataFrame:

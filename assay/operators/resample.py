@@ -1,14 +1,18 @@
 """Cluster bootstrap over groups.
 
 Every statistic here is a ratio of sums over the drawn groups, so rows are reduced to (numerator, denominator) per group
-first and never touched again. Draws are hashes of (seed, iteration, number of the draw): the same on any partitioning and
-in SQL. One MD5 gives four draws of 32 bits. Draws are made where they are used and summed per iteration within a task.
+first and never touched again. Draws are hashes of (seed, iteration, number of the draw) in 32-bit arithmetic: the same on
+any partitioning and in SQL. Up to a bound the groups' sums are broadcast as arrays and a task adds up whole iterations;
+beyond it the draws are rows that are joined by a shuffle, or, with method="poisson", hashes of the group itself.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,27 +30,79 @@ def group_stats(df: DataFrame, key: Column, num: Column, den: Column, by: list[s
     return rows.groupBy(*(by or []), "key").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
 
 
+_WORD = 0xFFFFFFFF
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of 32-bit numbers held in 64 bits."""
+    x = ((x ^ (x >> np.uint64(15))) * np.uint64(0x2C1B3C6D)) & np.uint64(_WORD)
+    x = ((x ^ (x >> np.uint64(12))) * np.uint64(0x297A2D39)) & np.uint64(_WORD)
+    return x ^ (x >> np.uint64(15))
+
+
+def mixed(x: Column) -> Column:
+    """The same hash of a bigint column with values below 2**32."""
+    step = lambda x, by, times: ((x.bitwiseXOR(F.shiftright(x, by))) * F.lit(times).cast("bigint")).bitwiseAND(F.lit(_WORD))
+    x = step(step(x, 15, 0x2C1B3C6D), 12, 0x297A2D39)
+    return x.bitwiseXOR(F.shiftright(x, 15))
+
+
 def replicates(stats: DataFrame, iters: int = 2000, seed: int = 42, by: list[str] | None = None, broadcast_groups: int = 2_000_000) -> DataFrame:
     """(by..., i, v): the statistic sum(num) / sum(den) of each resample of the groups; null denominators are dropped.
 
-    Groups are broadcast up to broadcast_groups of them; beyond that the draws are joined by a shuffle."""
+    Draw j of iteration i takes the group with number hash(hash(i + 1000003 seed) xor j) modulo the number of groups, in the
+    order of key within by. stats is read twice, so it should be a table. Up to broadcast_groups groups their sums are sent to every executor (16 bytes a group); beyond
+    that groups are numbered by range and the draws are joined to them by a shuffle, with the same result."""
     by = by or []
-    numbered = cut(with_ordinal(stats, ["key"], by=by))
-    m = numbered.groupBy(*by).agg(F.count("*").alias("m")) if by else numbered.agg(F.count("*").alias("m")).filter("m > 0")
-    groups = numbered.count()
-    if groups == 0:
-        return m.select(*by, F.lit(0).alias("i"), F.lit(0.0).alias("v")).limit(0)
-    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col("i").cast("string"), F.lit(":"), F.col("b").cast("string")))
+    groups = stats.count()
+    if groups > broadcast_groups:
+        return _joined_replicates(stats, iters, seed, by)
     spark = stats.sparkSession
-    slices = max(spark.sparkContext.defaultParallelism, 1)
-    its = spark.range(iters, numPartitions=min(slices, iters)).select(F.col("id").cast("int").alias("i"))
-    draws = its.join(F.broadcast(m)).withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("m") - 1) / 4)))).withColumn("h", hashed)
-    part = lambda k: F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("bigint")
-    four = F.filter(F.array(*(F.struct((F.col("b") * 4 + k).alias("j"), F.pmod(part(k), F.col("m")).alias("ord")) for k in range(4))), lambda x: x.j < F.col("m"))
-    draws = draws.select(*by, "i", F.explode(four).alias("d")).select(*by, "i", "d.ord")
-    known = numbered.select(*by, "ord", "num", "den")
-    joined = draws.join(F.broadcast(known) if groups <= broadcast_groups else known, [*by, "ord"])
-    sums = joined.groupBy(*by, "i").agg(F.sum("num").alias("n"), F.sum("den").alias("d"))
+    known = stats.select(*by, "key", "num", "den").sort(*by, "key").toArrow()
+    num, den = (known[c].to_numpy(zero_copy_only=False).astype("float64") for c in ("num", "den"))
+    where = [known[b].to_pylist() for b in by]
+    starts = [k for k in range(groups) if k == 0 or any(w[k] != w[k - 1] for w in where)]
+    names = pa.table({b: known[b] for b in by}).take(pa.array(starts, pa.int64())) if by else None
+    shared = spark.sparkContext.broadcast((num, np.nan_to_num(den), np.array([*starts, groups]), names))
+    of_by = ", ".join(f"`{b}` {t}" for b, t in stats.select(*by).dtypes)
+    schema = ", ".join(x for x in (of_by, "i int, v double") if x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        num, den, bounds, names = shared.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            v = np.full(len(ids), np.nan)
+            which, its = ids // iters, ids % iters
+            for g in np.unique(which):
+                rows = np.nonzero(which == g)[0]
+                low, m = bounds[g], int(bounds[g + 1] - bounds[g])
+                x, y, j = num[low : low + m], den[low : low + m], np.arange(m, dtype=np.uint64)
+                start = _mixed((its[rows].astype(np.uint64) + np.uint64(1000003 * seed)) & np.uint64(_WORD))
+                each = max(1, 500_000 // m)
+                for k in range(0, len(rows), each):
+                    at = (_mixed(start[k : k + each, None] ^ j[None, :]) % np.uint64(m)).astype(np.int64)
+                    d = y[at].sum(1)
+                    v[rows[k : k + each]] = np.divide(x[at].sum(1), d, out=np.full(len(d), np.nan), where=d != 0)
+            keep = np.nonzero(~np.isnan(v))[0]
+            columns = [c.combine_chunks().take(pa.array(which[keep])) for c in names.columns] if names is not None else []
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(its[keep].astype("int32")), pa.array(v[keep])], names=[*(names.column_names if names is not None else []), "i", "v"])
+
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, groups * iters // 1_000_000))
+    return spark.range(len(starts) * iters, numPartitions=tasks).mapInArrow(run, schema)
+
+
+def _joined_replicates(stats: DataFrame, iters: int, seed: int, by: list[str]) -> DataFrame:
+    numbered = cut(with_ordinal(stats, ["key"], by=by))
+    m = numbered.groupBy(*by).agg(F.count("*").alias("m"))
+    its = stats.sparkSession.range(iters).select(F.col("id").cast("int").alias("i"))
+    # Numbers of draws in runs of 65,536, so that no row holds the draws of all groups.
+    runs = its.join(m).withColumn("r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("m") - 1) / 65536)))).repartition(*by, "i", "r")
+    upto = F.least(F.col("m") - 1, F.col("r") * 65536 + 65535)
+    draws = runs.withColumn("h", mixed((F.col("i").cast("bigint") + 1000003 * seed).bitwiseAND(F.lit(_WORD)))).withColumn("j", F.explode(F.sequence(F.col("r") * 65536, upto)))
+    draws = draws.select(*by, "i", F.pmod(mixed(F.col("h").bitwiseXOR(F.col("j").bitwiseAND(F.lit(_WORD)))), F.col("m")).alias("ord"))
+    # A group drawn several times in an iteration is one row.
+    times = draws.groupBy(*by, "i", "ord").agg(F.count("*").alias("times"))
+    sums = times.join(numbered.select(*by, "ord", "num", "den"), [*by, "ord"]).groupBy(*by, "i").agg(F.sum(F.col("num") * F.col("times")).alias("n"), F.sum(F.col("den") * F.col("times")).alias("d"))
     return sums.select(*by, "i", F.try_divide("n", "d").alias("v")).filter("v is not null")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -54,67 +55,92 @@ def _sum(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "chunk_id", "doc_id").agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
 
 
-def bm25_top(chunks: DataFrame, queries: DataFrame, k: int = 5, *, k1: float = 1.5, b: float = 0.75, block_chunks: int = 20_000, max_queries: int = 200_000) -> DataFrame:
-    """(query_id, doc_id, score, rank): the k best documents by their best chunk; all chunks are scored, ties go by id.
+def bm25_top(chunks: DataFrame, queries: DataFrame, k: int = 5, *, of: str = "doc_id", k1: float = 1.5, b: float = 0.75, block_chunks: int = 20_000, block_queries: int = 100_000) -> DataFrame:
+    """(query_id, doc_id or chunk_id, score, rank): the k best documents by their best chunk, or the k best chunks; all
+    chunks are scored, ties go by id. Documents and chunks that share no word with the query are left out.
 
     Queries share so many words with all chunks that joining them by word would make nearly every pair. Instead the queries
-    (at most max_queries, more are refused) are broadcast, and each task scores its chunks in blocks through the block's
-    postings, keeping k documents per query and block; the best of those are the best of all."""
-    terms = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    asked = terms.groupBy("query_id").agg(F.collect_list(F.struct("term", "qf")).alias("ts")).limit(max_queries + 1).collect()
-    if len(asked) > max_queries:
-        raise ValueError(f"more than {max_queries} queries")
-    words = cut(chunks.select("doc_id", tokenize(F.col("chunk")).alias("ws")))
+    are broadcast, block_queries at a time, and each task scores its chunks in blocks through the block's postings, keeping
+    k results per query and block; the best of those are the best of all."""
+    terms = cut(queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf")))
+    words = cut(chunks.select("doc_id", "chunk_id", tokenize(F.col("chunk")).alias("ws")))
+    parts = max(1, -(-terms.select("query_id").distinct().count() // block_queries))
+    own = [terms if parts == 1 else terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p) for p in range(parts)]
+    found = [_bm25_block(words, t, k, of, k1, b, block_chunks) for t in own]
+    return top_docs(reduce(DataFrame.unionByName, found), k, of)
+
+
+def _bm25_block(words: DataFrame, terms: DataFrame, k: int, of: str, k1: float, b: float, block_chunks: int) -> DataFrame:
+    asked = terms.groupBy("query_id").agg(F.collect_list(F.struct("term", "qf")).alias("ts")).collect()
     n, avgdl = words.agg(F.count("*"), F.avg(F.size("ws"))).first()
-    wanted = cut(terms.select("term").distinct())
+    wanted = terms.select("term").distinct()
     df = {r.term: r.df for r in words.select(F.explode(F.array_distinct("ws")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).collect()}
     idf = {t: math.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
-    shared = chunks.sparkSession.sparkContext.broadcast(([(r.query_id, [(t.term, t.qf) for t in r.ts if t.term in idf]) for r in asked], idf))
+    shared = words.sparkSession.sparkContext.broadcast(([(r.query_id, [(t.term, t.qf) for t in r.ts if t.term in idf]) for r in asked], idf))
 
-    def best(docs: list, texts: list) -> Iterator[tuple]:
+    def best(keys: list, texts: list) -> Iterator[tuple]:
         asked, idf = shared.value
-        names = sorted(set(docs))
+        names = sorted(set(keys))
         place = {d: i for i, d in enumerate(names)}
-        at = np.array([place[d] for d in docs])
+        at = np.array([place[d] for d in keys])
         raw: dict[str, list[tuple[int, float]]] = {}
         for c, ws in enumerate(texts):
             norm = k1 * (1 - b + b * len(ws) / avgdl)
             for t, f in Counter(w for w in ws if w in idf).items():
                 raw.setdefault(t, []).append((c, idf[t] * f * (k1 + 1) / (f + norm)))
         postings = {t: (np.array([c for c, _ in v]), np.array([w for _, w in v])) for t, v in raw.items()}
+        score, by_key = np.zeros(len(keys)), np.zeros(len(names))
         for query, ts in asked:
-            score = np.zeros(len(docs))
+            seen = []
             for t, qf in ts:
                 if t in postings:
                     score[postings[t][0]] += postings[t][1] * qf
-            by_doc = np.zeros(len(names))
-            np.maximum.at(by_doc, at, score)
-            by_doc = np.round(by_doc, 9)
-            least = np.partition(by_doc, -k)[-k] if len(by_doc) > k else 0.0
-            hit = np.nonzero((by_doc >= least) & (by_doc > 0))[0]
-            for d in sorted(hit, key=lambda d: (-by_doc[d], names[d]))[:k]:
-                yield query, names[d], float(by_doc[d])
-
-    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {chunks.schema['doc_id'].dataType.simpleString()}, score double"
+                    seen.append(postings[t][0])
+            if not seen:
+                continue
+            # Only chunks with a word of the query are looked at, and cleared again.
+            touched = np.unique(np.concatenate(seen))
+            np.maximum.at(by_key, at[touched], score[touched])
+            hit = np.unique(at[touched])
+            value = np.round(by_key[hit], 9)
+            score[touched], by_key[hit] = 0.0, 0.0
+            least = np.partition(value, -k)[-k] if len(value) > k else 0.0
+            top = [(-v, names[d]) for d, v in zip(hit[value >= least].tolist(), value[value >= least].tolist()) if v > 0]
+            for v, name in sorted(top)[:k]:
+                yield query, name, -v
+
+    kind = dict(words.dtypes)[of]
+    kinds = f"query_id {dict(terms.dtypes)['query_id']}, {of} {kind}, score double"
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        docs, texts = [], []
+        keys, texts = [], []
         for batch in batches:
-            docs += batch["doc_id"].tolist()
+            keys += batch[of].tolist()
             texts += batch["ws"].tolist()
-            if len(docs) >= block_chunks:
-                yield pd.DataFrame(best(docs, texts), columns=["query_id", "doc_id", "score"])
-                docs, texts = [], []
-        if docs:
-            yield pd.DataFrame(best(docs, texts), columns=["query_id", "doc_id", "score"])
+            if len(keys) >= block_chunks:
+                yield pd.DataFrame(best(keys, texts), columns=["query_id", of, "score"])
+                keys, texts = [], []
+        if keys:
+            yield pd.DataFrame(best(keys, texts), columns=["query_id", of, "score"])
+
+    return words.mapInPandas(search, kinds)
 
-    return top_docs(words.mapInPandas(search, kinds), k)
 
+def search_chunks(chunks: DataFrame, queries: DataFrame, k: int = 5, **how) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k best chunks of every query that has a word; where fewer than k share a word
+    with it, chunks with a score of 0 follow in order of their ids. Ties go by id."""
+    hits = cut(bm25_top(chunks, queries, k, of="chunk_id", **how))
+    first = chunks.select("chunk_id").distinct().orderBy("chunk_id").limit(k)  # k rows
+    held = hits.groupBy("query_id").agg(F.count("*").alias("n"))
+    lacking = queries.select("query_id").distinct().join(held, "query_id", "left").filter(F.coalesce("n", F.lit(0)) < k)
+    more = lacking.crossJoin(F.broadcast(first)).join(hits, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", F.lit(0.0).alias("score"))
+    return top_docs(hits.select("query_id", "chunk_id", "score").unionByName(more), k, "chunk_id")
 
-def top_docs(scores: DataFrame, k: int = 5) -> DataFrame:
+
+def top_docs(scores: DataFrame, k: int = 5, of: str = "doc_id") -> DataFrame:
     """(query_id, doc_id, score, rank): documents by their best chunk; ties by id."""
-    best = scores.groupBy("query_id", "doc_id").agg(F.round(F.max("score"), 9).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    best = scores.groupBy("query_id", of).agg(F.round(F.max("score"), 9).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), of))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
@@ -150,5 +176,7 @@ def build_context(df: DataFrame, id: str, docs: str, corpus: DataFrame, corpus_i
 
 
 def parse_judgement(text: Column) -> Column:
-    """The first object in a judge's output, from its first brace to the last, as a variant; null where there is none."""
+    """The first object in a judge's output, from its first brace to the last, as a variant; null where there is none.
+
+    A null result is the parse failure."""
     return F.try_parse_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")))

@@ -19,7 +19,7 @@ def residual_stats(df: DataFrame, by: list[str], iters: int = 1000, seed: int =
     stats = df.groupBy(*by, "key").agg(F.sum("resid").alias("num"), F.count("resid").cast("double").alias("den"))
     stats = cut(stats)
     point = stats.groupBy(*by).agg(F.sum("den").cast("bigint").alias("n"), F.count("*").alias("n_groups"), F.try_divide(F.sum("num"), F.sum("den")).alias("resid")).filter(F.col("n_groups") >= MIN_GROUPS)
-    se = replicates(stats.join(F.broadcast(point.select(*by)), by, "left_semi"), iters, seed, by).groupBy(*by).agg(F.stddev_pop("v").alias("se"))
+    se = replicates(cut(stats.join(point.select(*by), by, "left_semi")), iters, seed, by).groupBy(*by).agg(F.stddev_pop("v").alias("se"))
     return point.join(se, by).withColumn("z", F.coalesce(F.try_divide("resid", "se"), F.lit(0.0)))
 
 

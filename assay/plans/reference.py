@@ -58,12 +58,19 @@ def _boot(stats: str, by: str = "", iters: int = 2000, seed: int = 42, scale: st
     return f"""
         {pre}num AS (SELECT {b}key, num, den, row_number() OVER ({part} ORDER BY key) - 1 AS ord FROM {stats}),
         m AS (SELECT {b}count(*) AS m FROM num {"GROUP BY " + by if by else ""}),
-        j AS (SELECT {b}m, unnest(range(m)) AS j FROM m),
-        draws AS (SELECT {b}i, ('0x' || substr(md5('{seed}:' || i || ':' || (j // 4)), (1 + 8 * (j % 4))::BIGINT, 8))::BIGINT % m AS ord FROM j, range({iters}) t(i)),
+        dj AS (SELECT {b}m, unnest(range(m)) AS j FROM m),
+        h0 AS (SELECT {b}m, j, i, {_mix("(i + " + str(1000003 * seed) + ") & 4294967295", "h")} FROM dj, range({iters}) t(i)),
+        draws AS (SELECT {b}i, {_mix("xor(h, j)", "x")}, x % m AS ord FROM h0),
         reps AS (SELECT {", ".join("draws." + c for c in by.split(", ")) + ", " if by else ""}i, sum(num) / sum(den) AS v FROM draws JOIN num ON draws.ord = num.ord AND {on} GROUP BY ALL),
         ci AS (SELECT {b}list_sort(list(v)) AS vs, {scale} * vs[(floor(0.05 * len(vs)) + 1)::BIGINT] AS lo, {scale} * vs[(floor(0.95 * len(vs)) + 1)::BIGINT] AS hi FROM reps WHERE v IS NOT NULL {"GROUP BY " + by if by else ""})"""
 
 
+def _mix(of: str, name: str) -> str:
+    """Columns of the 32-bit hash of the draws; the last has the name given."""
+    u = name + "_"
+    return f"({of})::BIGINT AS {u}0, (xor({u}0, {u}0 >> 15) * 739982445) & 4294967295 AS {u}1, (xor({u}1, {u}1 >> 12) * 695872825) & 4294967295 AS {u}2, xor({u}2, {u}2 >> 15) AS {name}"
+
+
 def _mean_sql(source: str, key: str, value: str, by: str = "", iters: int = 2000) -> str:
     b = f"{by}, " if by else ""
     return f"""
@@ -89,26 +96,26 @@ def mean_ci_events(spark, d):
     return rounded(intervals.mean_ci(table(spark, d, "events"), F.col("user_id"), F.col("value")))
 
 
-@query(_mean_sql(f"{_D}, src AS (SELECT * FROM d)", _KEY, "value", iters=1000))
+@query(_mean_sql(f"{_D}, src AS (SELECT * FROM d)", _KEY, "value"))
 def mean_ci_decisions(spark, d):
     """Mean value of decisions; a null group is a group of its own."""
-    return rounded(intervals.mean_ci(decisions(spark, d), _key(), F.col("value"), iters=1000))
+    return rounded(intervals.mean_ci(decisions(spark, d), _key(), F.col("value")))
 
 
-@query(_mean_sql("src AS (SELECT * FROM events)", "user_id", "value", by="event_type", iters=1000))
+@query(_mean_sql("src AS (SELECT * FROM events)", "user_id", "value", by="event_type"))
 def mean_ci_strata(spark, d):
     """Mean event value within each type, from one job."""
-    return rounded(intervals.mean_ci(table(spark, d, "events"), F.col("user_id"), F.col("value"), by=["event_type"], iters=1000))
+    return rounded(intervals.mean_ci(table(spark, d, "events"), F.col("user_id"), F.col("value"), by=["event_type"]))
 
 
 @query(f"""
     WITH {_D}, r AS (SELECT {_KEY} AS key, cost, CASE WHEN isfinite(coalesce(payoff, outcome)) THEN coalesce(payoff, outcome) ELSE 0 END AS paid FROM d WHERE isfinite(cost) AND cost > 0),
-    stats AS (SELECT key, sum(paid) AS num, sum(cost) AS den, count(*) AS c, sum((paid > 0)::INT) AS h FROM r GROUP BY key), {_boot("stats", iters=1000, scale="100")},
+    stats AS (SELECT key, sum(paid) AS num, sum(cost) AS den, count(*) AS c, sum((paid > 0)::INT) AS h FROM r GROUP BY key), {_boot("stats", scale="100")},
     p AS (SELECT sum(c)::BIGINT AS n, count(*) AS n_groups, 100 * sum(num) / sum(den) AS estimate, sum(h)::BIGINT AS hits FROM stats)
     SELECT n, n_groups, round(estimate, 6) AS estimate, round(lo, 6) AS lo, round(hi, 6) AS hi, n_groups >= 30 AS reliable, lo > 100 AND n_groups >= 30 AS robust_positive, hi < 100 AND n_groups >= 30 AS robust_negative, 'percentile' AS ci_method, 'heavy_tailed_undercoverage' AS ci_caveat, hits FROM p, ci""")
 def roi_ci_decisions(spark, d):
     """Return of the decisions acted on."""
-    return rounded(intervals.roi_ci(decisions(spark, d), _key(), F.col("cost"), F.coalesce("payoff", "outcome"), iters=1000))
+    return rounded(intervals.roi_ci(decisions(spark, d), _key(), F.col("cost"), F.coalesce("payoff", "outcome")))
 
 
 _RADIUS = "{s} * sqrt(2 * (n * 0.25 + 1) / (n::DOUBLE * n * 0.25) * ln(sqrt(n * 0.25 + 1) / 0.1))"
@@ -117,7 +124,8 @@ _RADIUS = "{s} * sqrt(2 * (n * 0.25 + 1) / (n::DOUBLE * n * 0.25) * ln(sqrt(n *
 @query(f"""
     WITH s AS (SELECT event_type, count(*) AS n, avg(value - 50) AS mean, stddev_pop(value - 50) AS sd FROM events WHERE isfinite(value) GROUP BY event_type),
     c AS (SELECT *, n < 2 OR sd <= 0 AS degenerate, CASE WHEN n >= 2 AND sd > 0 THEN {_RADIUS.format(s="sd")} END AS r FROM s)
-    SELECT event_type, n, round(mean, 6) AS mean, round(mean - r, 6) AS lo, round(mean + r, 6) AS hi, degenerate, coalesce(mean - r > 0 OR mean + r < 0, FALSE) AS decided, 'asymptotic' AS validity FROM c""")
+    SELECT event_type, n, round(mean, 6) AS mean, round(sd, 6) AS sigma, round(r, 6) AS radius, round(mean - r, 6) AS lo, round(mean + r, 6) AS hi, degenerate, coalesce(mean - r > 0, FALSE) AS robust_positive,
+        coalesce(mean + r < 0, FALSE) AS robust_negative, coalesce(mean - r > 0 OR mean + r < 0, FALSE) AS decided, 'asymptotic' AS validity FROM c""")
 def confidence_sequence_events(spark, d):
     return rounded(intervals.confidence_sequence(table(spark, d, "events"), F.col("value") - 50, by=["event_type"]))
 
@@ -132,6 +140,15 @@ def sequential_scan_events(spark, d):
     return intervals.sequential_scan(table(spark, d, "events"), F.col("value") - 48, ["ts", "event_id"], by=["event_type"], sigma=30.0)
 
 
+@query(f"""
+    WITH r AS (SELECT event_type, value - 48 AS x, row_number() OVER w AS n, sum(value - 48) OVER w AS s FROM events WHERE isfinite(value) WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+    l AS (SELECT event_type, n, s / n AS mean, {_RADIUS.format(s="30")} AS rad, max(n) OVER (PARTITION BY event_type) AS total FROM r)
+    SELECT event_type, n, round(mean, 6) AS mean, round(mean - rad, 6) AS lo, round(mean + rad, 6) AS hi, abs(mean) > rad AS decided, total FROM l WHERE n >= 20 AND (n - 20) % 10 = 0""")
+def sequential_checkpoints_events(spark, d):
+    """Every look of sequential_scan_events with its interval."""
+    return rounded(intervals.sequential_checkpoints(table(spark, d, "events"), F.col("value") - 48, ["ts", "event_id"], by=["event_type"], sigma=30.0))
+
+
 @query("SELECT count(*) AS n, round(stddev_samp(o_totalprice), 6) AS sd, round(pow(2.80158 * stddev_samp(o_totalprice) / 5000, 2), 6) AS need_n, pow(2.80158 * stddev_samp(o_totalprice) / 5000, 2) <= 5000 AS measurable FROM orders WHERE isfinite(o_totalprice)")
 def power_mean_orders(spark, d):
     return rounded(intervals.power_mean(table(spark, d, "orders"), F.col("o_totalprice"), 5000.0))
@@ -170,11 +187,11 @@ def calibration_bins_decisions(spark, d):
     q AS (SELECT *, {_KEY} AS key, y - avg(y) OVER (PARTITION BY bin) AS resid FROM b), l AS ({_labels("q", "key, resid")}),
     stats0 AS (SELECT label, key, sum(resid) AS num, count(*)::DOUBLE AS den FROM l GROUP BY ALL),
     p AS (SELECT label, sum(den)::BIGINT AS n, count(*) AS n_groups, sum(num) / sum(den) AS resid FROM stats0 GROUP BY label HAVING count(*) >= 30),
-    stats AS (SELECT * FROM stats0 WHERE label IN (SELECT label FROM p)), {_boot("stats", "label", 300)},
+    stats AS (SELECT * FROM stats0 WHERE label IN (SELECT label FROM p)), {_boot("stats", "label", 1000)},
     e AS (SELECT label, stddev_pop(v) AS se FROM reps GROUP BY label)
     SELECT label, n, n_groups, round(resid, 6) AS resid, round(se, 6) AS se, round(CASE WHEN se > 0 THEN resid / se ELSE 0 END, 6) AS z FROM p JOIN e USING (label)""")
 def residual_scan_decisions(spark, d):
-    return rounded(scan.residual_scan(decisions(spark, d), _specs(), _key(), F.col("baseline"), F.col("outcome"), "row_id", iters=300))
+    return rounded(scan.residual_scan(decisions(spark, d), _specs(), _key(), F.col("baseline"), F.col("outcome"), "row_id"))
 
 
 def _stages(parts: int) -> str:
@@ -190,7 +207,7 @@ def _stages(parts: int) -> str:
         l AS ({_labels("q", "key, stage, resid")}),
         stats0 AS (SELECT label, stage, key, sum(resid) AS num, count(*)::DOUBLE AS den FROM l GROUP BY ALL),
         p AS (SELECT label, stage, sum(den)::BIGINT AS n, count(*) AS n_groups, sum(num) / sum(den) AS resid FROM stats0 GROUP BY ALL HAVING count(*) >= 30),
-        stats AS (SELECT s.* FROM stats0 s JOIN p ON s.label = p.label AND s.stage = p.stage), {_boot("stats", "label, stage", 200)},
+        stats AS (SELECT s.* FROM stats0 s JOIN p ON s.label = p.label AND s.stage = p.stage), {_boot("stats", "label, stage", 1000)},
         e AS (SELECT label, stage, stddev_pop(v) AS se FROM reps GROUP BY ALL),
         z AS (SELECT label, stage, n, resid, CASE WHEN se > 0 THEN resid / se ELSE 0 END AS z FROM p JOIN e USING (label, stage)),
         w AS (SELECT label, {", ".join(f"max(resid) FILTER (WHERE stage = 's{k}') AS r{k}, max(z) FILTER (WHERE stage = 's{k}') AS z{k}, max(n) FILTER (WHERE stage = 's{k}') AS n{k}" for k in range(1, parts + 1))} FROM z GROUP BY label)"""
@@ -198,12 +215,12 @@ def _stages(parts: int) -> str:
 
 @query(f"{_stages(2)} SELECT label, round(r1, 6) AS resid_d, round(z1, 6) AS z_d, n1 AS n_d, round(r2, 6) AS resid_v, round(z2, 6) AS z_v, n2 AS n_v, coalesce(abs(z1) >= 2 AND r1 * r2 > 0 AND abs(r2) >= 0.02 AND abs(z2) >= 1, FALSE) AS survives FROM w")
 def holdout_scan_decisions(spark, d):
-    return rounded(scan.holdout_scan(decisions(spark, d), _specs(), _key(), F.col("time"), F.col("baseline"), F.col("outcome"), "row_id", iters=200))
+    return rounded(scan.holdout_scan(decisions(spark, d), _specs(), _key(), F.col("time"), F.col("baseline"), F.col("outcome"), "row_id"))
 
 
 @query(f"{_stages(3)} SELECT label, round(z1, 6) AS z_d, round(z2, 6) AS z_v, round(z3, 6) AS z_c, coalesce(abs(z1) >= 2 AND sign(r1) = sign(r2) AND abs(z2) >= 1 AND sign(r1) = sign(r3) AND abs(z3) >= 1, FALSE) AS confirmed, '' AS note FROM w")
 def staged_scan_decisions(spark, d):
-    return rounded(scan.staged_scan(decisions(spark, d), _specs(), _key(), F.col("time"), F.col("baseline"), F.col("outcome"), "row_id", estimand="outcome against baseline", iters=200))
+    return rounded(scan.staged_scan(decisions(spark, d), _specs(), _key(), F.col("time"), F.col("baseline"), F.col("outcome"), "row_id", estimand="outcome against baseline"))
 
 
 # --- leaks
@@ -248,7 +265,16 @@ def duplicate_decisions(spark, d):
     return leak.duplicates(table(spark, d, "decisions"), F.col("entity"), F.col("time"))
 
 
-@query()
+def _report_sql() -> str:
+    parts = {
+        "reappearance": f"SELECT count(*) AS n FROM ({SQL['reappearance_decisions']}) WHERE level IN ('H', 'M')", "split": f"SELECT count(*) AS n FROM ({SQL['split_contamination_decisions']})",
+        "target": f"SELECT count(*) AS n FROM ({SQL['target_leak_decisions']}) WHERE leaks", "duplicate": f"WITH {_D} SELECT count(*) AS n FROM (SELECT entity, time FROM d WHERE entity IS NOT NULL GROUP BY ALL HAVING count(*) > 1)",
+    }
+    union = " UNION ALL ".join(f"SELECT '{k}' AS \"check\", n FROM ({q})" for k, q in parts.items())
+    return f"WITH p AS ({union}) SELECT \"check\", n::BIGINT AS n, n = 0 AS clean FROM (SELECT * FROM p UNION ALL SELECT 'all', sum(n) FROM p)"
+
+
+@query(_report_sql())
 def leak_report_decisions(spark, d):
     rows = cut(decisions(spark, d))
     flags = leak.reappearance_flags(rows, "group", "entity", "time", "baseline", "row_id", "level")
@@ -355,23 +381,52 @@ _J = "j AS (SELECT * FROM judged_gemini_by_gemini WHERE id IS NOT NULL AND _judg
 _LONG = f"""{_J}, v AS (SELECT * FROM ({" UNION ALL ".join(f"SELECT id AS item, type, '{a}' AS axis, _judge AS rater, {_SCORE.format(a)} AS score FROM j" for a in _AXES)}) WHERE score IS NOT NULL)"""
 
 
-def _judged(spark, d) -> DataFrame:
-    """(item, type, axis, rater, score): plain numeric scores of each rater's latest row for an item."""
+def _judged(spark, d, first: bool = False) -> DataFrame:
+    """(item, type, axis, rater, score): plain numeric scores of each rater's latest, or first, row for an item."""
     j = table(spark, d, "judged_gemini_by_gemini").filter("id is not null and _judge is not null")
-    w = Window.partitionBy("id", "_judge").orderBy(F.col("judged_at").desc_nulls_last(), *(F.col(a).asc_nulls_last() for a in _AXES))
+    at = F.col("judged_at").asc_nulls_first() if first else F.col("judged_at").desc_nulls_last()
+    w = Window.partitionBy("id", "_judge").orderBy(at, *(F.col(a).asc_nulls_last() for a in _AXES))
     last = j.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
     each = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), _score(a).alias("score")) for a in _AXES)))
     return last.select(F.col("id").alias("item"), "type", F.col("_judge").alias("rater"), each.alias("e")).select("item", "type", "e.axis", "rater", "e.score").filter("score is not null")
 
 
-@query(f"""
-    WITH {_LONG}, p AS (SELECT a.axis, a.rater AS rater_a, b.rater AS rater_b, a.score AS x, b.score AS y FROM v a JOIN v b ON a.item = b.item AND a.axis = b.axis AND a.rater < b.rater),
-    t AS (SELECT axis, rater_a, rater_b, count(*) AS n, avg((x = y)::INT) AS po, avg(x - y) AS difference, {" + ".join(f"avg((x = {k})::INT) * avg((y = {k})::INT)" for k in range(3))} AS pe FROM p GROUP BY ALL)
-    SELECT axis, rater_a, rater_b, n, round(CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END, 6) AS kappa, round(difference, 6) AS difference FROM t WHERE n >= 10""")
+def _paired_sql(pairs: str, by: str, finding: tuple[str, str, str], kappa: bool = True) -> str:
+    """Kappa and the paired difference with its interval, from a table p0 (by, item, x, y) of pairs; 10 at least."""
+    on = " AND ".join(f"t.{c} = q.{c}" for c in by.split(", "))
+    mean = _mean_sql("w AS (SELECT 1)", "item", "x - y", by=by).replace("WITH w AS (SELECT 1), ", "", 1).replace("FROM src", "FROM pp", 1)
+    steps, last = mean.strip().rsplit("SELECT", 1)
+    shown = "round(po, 6) AS agreement, round(CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END, 6) AS kappa, " if kappa else ""
+    return f"""
+        WITH {pairs}, pp AS (SELECT p0.* FROM p0 QUALIFY count(*) OVER (PARTITION BY {by}) >= 10), {steps.rstrip()},
+        q AS (SELECT {last}),
+        t AS (SELECT {by}, count(*) AS n, avg((x = y)::INT) AS po, {" + ".join(f"avg((x = {k})::INT) * avg((y = {k})::INT)" for k in range(3))} AS pe FROM pp GROUP BY ALL)
+        SELECT {", ".join("t." + c for c in by.split(", "))}, t.n, {shown}estimate AS difference, lo, hi, reliable, robust_positive, robust_negative, CASE WHEN robust_positive THEN '{finding[0]}' WHEN robust_negative THEN '{finding[1]}' ELSE '{finding[2]}' END AS finding
+        FROM t JOIN q ON {on}"""
+
+
+@query(_paired_sql(f"{_LONG}, p0 AS (SELECT a.axis, a.rater AS rater_a, b.rater AS rater_b, a.item, a.score AS x, b.score AS y FROM v a JOIN v b ON a.item = b.item AND a.axis = b.axis AND a.rater < b.rater)", "axis, rater_a, rater_b", ("higher", "lower", "none")))
 def pairwise_kappa_judges(spark, d):
+    """Kappa of every two judges by axis, and the interval of their difference."""
     return rounded(evaluate.pairwise_agreement(_judged(spark, d)))
 
 
+_FIRST = _LONG.replace("judged_at DESC NULLS LAST", "judged_at ASC NULLS FIRST").replace("j AS", "j1 AS", 1).replace("v AS", "v1 AS", 1).replace("FROM j)", "FROM j1)").replace("FROM j UNION", "FROM j1 UNION").replace("FROM j WHERE", "FROM j1 WHERE")
+
+
+@query(_paired_sql(f"{_LONG}, {_FIRST}, p0 AS (SELECT v.rater, v.axis, v.item, v.score AS x, v1.score AS y FROM v JOIN v1 ON v.item = v1.item AND v.axis = v1.axis AND v.rater = v1.rater WHERE v.axis IN ('faithfulness', 'coverage'))", "rater, axis", ("with", "without", "none"), kappa=False))
+def ablation_judges(spark, d):
+    """What revising their scores changed, by judge and axis: each judge's last scores against the first, paired by answer."""
+    return rounded(evaluate.ablation(_judged(spark, d), _judged(spark, d, first=True), ["faithfulness", "coverage"]))
+
+
+@query(_paired_sql(f"{_LONG}, p0 AS (SELECT v.rater, v.axis, v.item, v.score AS x, h.score AS y FROM v JOIN v h ON v.item = h.item AND v.axis = h.axis WHERE h.rater = 'rater-01' AND v.rater <> 'rater-01')", "rater, axis", ("lenient", "strict", "none")))
+def human_kappa_judges(spark, d):
+    """Every other judge against rater-01, who stands for the people that the tables have no labels of."""
+    v = cut(_judged(spark, d))
+    return rounded(evaluate.human_agreement(v.filter("rater = 'rater-01'"), v.filter("rater <> 'rater-01'")))
+
+
 @query("""
     WITH l AS (SELECT CASE WHEN contains(text, ' FATAL ') OR contains(text, ' ERROR ') THEN 'alert' ELSE 'normal' END AS a, label AS b FROM logtriage WHERE label IS NOT NULL),
     t AS (SELECT count(*) AS n, avg((a = b)::INT) AS po, avg((a = 'alert')::INT) * avg((b = 'alert')::INT) + avg((a <> 'alert')::INT) * avg((b <> 'alert')::INT) AS pe FROM l)
@@ -402,7 +457,7 @@ _A = """a AS (SELECT * FROM (SELECT DISTINCT id, type, answer, retrieved_doc_ids
     c AS (SELECT *, list_filter(nums, lambda x: x >= 1 AND x <= len(coalesce(got, []))) AS ins, list_sort(list_distinct(list_transform(ins, lambda x: got[x]))) AS cited_docs, contains(lower(coalesce(answer, '')), 'do not contain this information') AS refused FROM n),
     h AS (SELECT *, len(list_intersect(cited_docs, coalesce(gold, []))) AS hit FROM c),
     k AS (SELECT *, len(nums)::INT AS n_cited, (len(nums) - len(ins))::INT AS out_of_range, CASE WHEN NOT trap THEN CASE WHEN len(cited_docs) > 0 THEN hit / len(cited_docs)::DOUBLE ELSE 0 END END AS p, CASE WHEN NOT trap THEN CASE WHEN len(coalesce(gold, [])) > 0 THEN hit / len(list_distinct(gold))::DOUBLE ELSE 0 END END AS r FROM h),
-    o AS (SELECT *, CASE WHEN trap THEN refused OR (len(cited_docs) > 0 AND out_of_range = 0) ELSE p = 1 AND r > 0 END AS ok FROM k)"""
+    o AS (SELECT *, CASE WHEN trap THEN refused OR (len(cited_docs) > 0 AND hit = len(cited_docs)) ELSE p = 1 AND r > 0 END AS ok FROM k)"""
 
 
 def _answers(spark, d) -> DataFrame:
@@ -428,38 +483,83 @@ def citation_summary_answers(spark, d):
     return rounded(rows.groupBy("trap").agg(F.count("*").alias("n"), F.count_if("citation_ok").alias("n_ok"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall")))
 
 
-@query(f"WITH {_A}, {_LONG} SELECT rater, ok AS machine_ok, count(*) AS n, round(avg(score), 6) AS mean FROM v JOIN o ON v.item = o.id WHERE axis = 'citation' GROUP BY ALL")
+@query(f"WITH {_A}, {_LONG} SELECT rater, ok AS machine_ok, count(*) AS n, round(avg(score), 6) AS mean FROM v JOIN o ON v.item = o.id WHERE axis = 'citation' AND o.type IS DISTINCT FROM 'unanswerable' GROUP BY ALL")
 def citation_vs_machine(spark, d):
     """Mean citation score of each judge on the answers that the machine check passes, and on the others; traps are in neither."""
     ok = _cited(spark, d).filter("type is distinct from 'unanswerable'").select(F.col("id").alias("item"), F.col("citation_ok").alias("machine_ok"))
     return rounded(_judged(spark, d).filter("axis = 'citation'").join(ok, "item").groupBy("rater", "machine_ok").agg(F.count("*").alias("n"), F.avg("score").alias("mean")))
 
 
+@query(f"WITH {_A} SELECT id, trap, array_to_string(cited_docs, ',') AS cited_docs, round(p, 6) AS precision, round(r, 6) AS recall FROM o WHERE NOT ok")
+def citation_failures_answers(spark, d):
+    """The answers that the citation check doesn't pass."""
+    out = _cited(spark, d).filter("not citation_ok").withColumns({"trap": F.col("type") == "unanswerable", "cited_docs": F.array_join("cited_docs", ",")})
+    return rounded(out.select("id", "trap", "cited_docs", "precision", "recall"))
+
+
 def _chars(alias: str) -> str:
     return f"SELECT id, max(length(coalesce(answer, '')))::DOUBLE AS v FROM {alias} WHERE id IS NOT NULL GROUP BY id"
 
 
-@query(_mean_sql(f"""src AS (SELECT a.id, t.type, a.v - b.v AS diff FROM ({_chars("answers_gemini")}) a JOIN ({_chars("answers_gemini_norag")}) b ON a.id = b.id JOIN (SELECT id, min(type) AS type FROM answers_gemini GROUP BY id) t ON a.id = t.id)""", "id", "diff", by="type", iters=500))
+@query(_mean_sql(f"""src AS (SELECT a.id, t.type, a.v - b.v AS diff FROM ({_chars("answers_gemini")}) a JOIN ({_chars("answers_gemini_norag")}) b ON a.id = b.id JOIN (SELECT id, min(type) AS type FROM answers_gemini GROUP BY id) t ON a.id = t.id)""", "id", "diff", by="type"))
 def ablation_answers(spark, d):
     """Paired difference of answer length with and without retrieval, by type of question."""
     size = lambda name: table(spark, d, name).filter("id is not null").groupBy("id").agg(F.max(F.length(F.coalesce("answer", F.lit("")))).cast("double").alias(name), F.min("type").alias(f"type_{name}"))
     a, b = size("answers_gemini"), size("answers_gemini_norag")
     both = a.join(b, "id").withColumn("type", F.col("type_answers_gemini")).withColumn("diff", F.col("answers_gemini") - F.col("answers_gemini_norag"))
-    return rounded(intervals.mean_ci(both, F.col("id"), F.col("diff"), by=["type"], iters=500))
+    return rounded(intervals.mean_ci(both, F.col("id"), F.col("diff"), by=["type"]))
 
 
 @query("""
-    WITH l AS (SELECT coalesce("group", chr(1) || id) AS key, kind, label, CASE WHEN contains(text, ' FATAL ') THEN 'alert' ELSE 'normal' END AS a,
+    WITH l AS (SELECT coalesce("group", chr(1) || id) AS key, kind, label, CASE WHEN contains(text, ' FATAL ') THEN 'alert' ELSE 'normal' END AS a, CASE WHEN contains(text, ' FATAL ') OR contains(text, ' ERROR ') THEN 'alert' ELSE 'normal' END AS r,
                       CASE WHEN contains(lower(text), 'fatal') OR contains(lower(text), 'error') OR contains(lower(text), 'severe') THEN 'alert' ELSE 'normal' END AS b FROM logtriage WHERE label IS NOT NULL),
-    s AS (SELECT key, unnest(['all', 'kind=' || coalesce(kind, 'null'), 'label=' || label]) AS stratum, (a = label)::INT::DOUBLE AS va, (b = label)::INT::DOUBLE AS vb FROM l),
-    src AS (SELECT key AS k0, stratum, 'A' AS of_, va AS v0 FROM s UNION ALL SELECT key, stratum, 'B', vb FROM s UNION ALL SELECT key, stratum, 'B-A', vb - va FROM s), """
-    + _mean_sql("x AS (SELECT 1)", "k0", "v0", by="stratum, of_", iters=200).replace("WITH x AS (SELECT 1), ", "", 1).strip().replace("SELECT stratum, of_, n,", 'SELECT stratum, of_ AS "of", n,'))
+    s AS (SELECT key, unnest(['all', 'kind=' || coalesce(kind, 'null'), 'label=' || label]) AS stratum, (a = label)::INT::DOUBLE AS va, (b = label)::INT::DOUBLE AS vb, (r = label)::INT::DOUBLE AS vr FROM l),
+    src AS (SELECT key AS k0, stratum, 'A' AS of_, va AS v0 FROM s UNION ALL SELECT key, stratum, 'B', vb FROM s UNION ALL SELECT key, stratum, 'B-A', vb - va FROM s UNION ALL SELECT key, stratum, 'rule', vr FROM s UNION ALL SELECT key, stratum, 'B-rule', vb - vr FROM s), """
+    + _mean_sql("x AS (SELECT 1)", "k0", "v0", by="stratum, of_").replace("WITH x AS (SELECT 1), ", "", 1).strip().replace("SELECT stratum, of_, n,", 'SELECT stratum, of_ AS "of", n,'))
 def ab_rules_logtriage(spark, d):
-    """Two keyword rules on log lines: accuracy of each and their paired difference, by stratum, resampled by template."""
+    """Two classifiers of log lines against each other and against a keyword rule, by stratum, resampled by template."""
     t = F.lower("text")
-    a = F.when(F.contains("text", F.lit(" FATAL ")), "alert").otherwise("normal")
+    fatal = F.contains("text", F.lit(" FATAL "))
+    a, rule = F.when(fatal, "alert").otherwise("normal"), F.when(fatal | F.contains("text", F.lit(" ERROR ")), "alert").otherwise("normal")
     b = F.when(F.contains(t, F.lit("fatal")) | F.contains(t, F.lit("error")) | F.contains(t, F.lit("severe")), "alert").otherwise("normal")
-    return rounded(evaluate.paired_ab(table(spark, d, "logtriage"), group_key(F.col("group"), F.col("id")), F.col("label"), a, b, ["kind", "label"], iters=200))
+    return rounded(evaluate.paired_ab(table(spark, d, "logtriage"), group_key(F.col("group"), F.col("id")), F.col("label"), a, b, ["kind", "label"], rule=rule))
+
+
+_TRAPS = f"""{_A}, x AS (SELECT id, trap, (refused = trap)::INT::DOUBLE AS va, ((refused OR len(cited_docs) = 0) = trap)::INT::DOUBLE AS vb FROM o WHERE trap IS NOT NULL)"""
+
+
+def _ab_report_sql() -> str:
+    one = lambda name, v: f"{name} AS ({_mean_sql(f'src AS (SELECT id, {v} AS v0 FROM x)', 'id', 'v0')})"
+    return f"""
+        WITH {_TRAPS}, {one("ca", "va")}, {one("cb", "vb")}, {one("cd", "vb - va")},
+        w AS (SELECT count(*) AS n0, avg(vb - va) AS m, pow(2.80158 * stddev_samp(vb - va) / 0.05, 2) AS need_n, stddev_samp(vb - va) AS sd FROM x),
+        z AS (SELECT m, CASE WHEN sd > 0 THEN need_n END AS need_n, {_RADIUS.format(s="1.0").replace("(n ", "(n0 ").replace("(n:", "(n0:").replace("* n *", "* n0 *").replace("sqrt(n *", "sqrt(n0 *")} AS rad FROM w),
+        y AS (SELECT cd.*, ca.estimate AS ae, ca.lo AS al, ca.hi AS ah, cb.estimate AS be, cb.lo AS bl, cb.hi AS bh, need_n, m - rad AS sl, m + rad AS sh, 100 * cd.estimate - 2 AS en, 100 * cd.lo - 2 AS wn, (100 * cd.hi - 100 * cd.lo) / 3.29 AS se FROM ca, cb, cd, z),
+        u AS (SELECT *, CASE WHEN se > 0 THEN 100 * abs(estimate) / se END AS k FROM y)
+        SELECT ae AS a_estimate, al AS a_lo, ah AS a_hi, be AS b_estimate, bl AS b_lo, bh AS b_hi, estimate AS diff_estimate, lo AS diff_lo, hi AS diff_hi, n, n_groups, robust_positive, robust_negative,
+               round(need_n, 3) AS need_n, need_n <= 5000 AS measurable, round(sl, 6) AS sequence_lo, round(sh, 6) AS sequence_hi, sl > 0 OR sh < 0 AS decided, round(en, 3) AS expected_net, round(wn, 3) AS worst_net,
+               CASE WHEN wn > 0 AND en > 0 THEN 'adopt' WHEN en > 0 THEN 'conditional' ELSE 'reject' END AS verdict, round(e, 3) AS evpi, e > 1 AS worth_sampling,
+               CASE WHEN robust_positive THEN 'better' WHEN robust_negative THEN 'worse' ELSE 'not told from luck' END AS finding
+        FROM (SELECT *, CASE WHEN se > 0 THEN se * (exp(-k * k / 2) / 2.5066282746310002 - k * (1 - {_cdf("k")})) ELSE 0 END AS e FROM u)"""
+
+
+def _trap_calls(spark, d) -> tuple[DataFrame, Column, Column, Column]:
+    rows = _cited(spark, d).withColumn("trap", F.col("type") == "unanswerable")
+    return rows, F.col("trap"), F.col("refused"), F.col("refused") | (F.size("cited_docs") == 0)
+
+
+@query(_ab_report_sql())
+def ab_report_answers(spark, d):
+    """Is an answer without citations as good a sign of an unanswerable question as a refusal? The whole report, by answer."""
+    rows, truth, a, b = _trap_calls(spark, d)
+    out = rounded(evaluate.ab_report(rows, F.col("id"), truth, a, b))
+    return out.withColumns({c: F.round(c, 3) for c in ("need_n", "expected_net", "worst_net", "evpi")})
+
+
+@query(f"WITH {_TRAPS} SELECT id, 'A' AS \"of\" FROM x WHERE va = 0 UNION ALL SELECT id, 'B' FROM x WHERE vb = 0")
+def ab_errors_answers(spark, d):
+    """The answers that either sign gets wrong."""
+    return evaluate.ab_errors(_trap_calls(spark, d)[0], "id", *_trap_calls(spark, d)[1:])
 
 
 @query("""
@@ -488,19 +588,19 @@ _PEEK_X = "((('0x' || substr(md5('42:' || trial || ':' || k), 1, 8))::BIGINT::DO
 
 
 @query(f"""
-    WITH x AS (SELECT trial, k, {_PEEK_X} AS x FROM range(200) a(trial), range(1, 301) b(k)),
+    WITH x AS (SELECT trial, k, {_PEEK_X} AS x FROM range(500) a(trial), range(1, 501) b(k)),
     r AS (SELECT trial, k AS n, avg(x) OVER w AS m, stddev_samp(x) OVER w AS sd FROM x WINDOW w AS (PARTITION BY trial ORDER BY k ROWS UNBOUNDED PRECEDING)),
     h AS (SELECT trial, max((abs(m) > 1.645 * sd / sqrt(n))::INT) AS f, max((abs(m) > {_RADIUS.format(s="1")})::INT) AS s FROM r WHERE n >= 30 AND (n - 30) % 10 = 0 GROUP BY trial)
     SELECT 'fixed' AS method, count(*) AS trials, sum(f)::BIGINT AS false_positives FROM h UNION ALL SELECT 'sequence', count(*), sum(s)::BIGINT FROM h""")
 def peeking_simulation(spark, d):
-    return evaluate.peeking_rates(spark, trials=200, n=300)
+    return evaluate.peeking_rates(spark)
 
 
 def _effect(spark, d) -> DataFrame:
-    return intervals.mean_ci(table(spark, d, "events"), F.col("user_id"), F.col("value") - 49, by=["event_type"], iters=300)
+    return intervals.mean_ci(table(spark, d, "events"), F.col("user_id"), F.col("value") - 49, by=["event_type"])
 
 
-_EFFECT = _mean_sql("src AS (SELECT event_type, user_id, value - 49 AS x FROM events)", "user_id", "x", by="event_type", iters=300)
+_EFFECT = _mean_sql("src AS (SELECT event_type, user_id, value - 49 AS x FROM events)", "user_id", "x", by="event_type")
 
 
 @query(f"WITH q AS ({_EFFECT}) SELECT event_type, estimate, lo, round(estimate * 1000 - 200, 4) AS expected_net, round(lo * 1000 - 200, 4) AS worst_net, CASE WHEN lo * 1000 - 200 > 0 AND estimate * 1000 - 200 > 0 THEN 'adopt' WHEN estimate * 1000 - 200 > 0 THEN 'conditional' ELSE 'reject' END AS verdict FROM q")
@@ -553,7 +653,7 @@ def _gate_sql() -> str:
 def completeness_gate_decisions(spark, d):
     """Missing fields and uncollected ids of decisions; two ids more than there are were expected."""
     rows = table(spark, d, "decisions")
-    top = rows.agg(F.max("row_id").alias("m")).select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m") + 2)).alias("i"))
+    top = spark.range(1, (rows.agg(F.max("row_id")).first()[0] or 0) + 3).withColumnRenamed("id", "i")
     return gate.completeness_gate(rows, "row_id", ["time", "baseline", "entity"], ["level"], ["grade"], expected=top)
 
 
@@ -572,6 +672,33 @@ def publish_gate_answers(spark, d):
     return own.unpivot([], ["rows", "unique_ids", "blank_answers", "traps", "secrets"], "check", "n").unionByName(orphans)
 
 
+# What answers must reach to be published.
+FLOORS = {"duplicate_ids": ("most", 0), "blank_share": ("most", 2 / 30), "traps": ("least", 3), "orphans": ("most", 0), "secrets": ("most", 0), "usable_judges": ("least", 2), "recall": ("least", 0.9), "mrr": ("least", 0.9)}
+
+
+def _verdict_sql() -> str:
+    floors = ", ".join(f"('{k}', '{side}', {v!r}::DOUBLE)" for k, (side, v) in FLOORS.items())
+    return f"""
+        WITH c AS ({SQL["publish_gate_answers"]}), r AS ({SQL["retrieval_eval"]}), u AS ({SQL["usable_judges"]}), g AS (SELECT "check" AS k, n FROM c),
+        m AS (SELECT (SELECT n FROM g WHERE k = 'blank_answers') / (SELECT n FROM g WHERE k = 'rows')::DOUBLE AS blank),
+        d AS (SELECT count(*) AS n FROM (SELECT id FROM answers_gemini WHERE id IS NOT NULL GROUP BY id HAVING count(DISTINCT question) > 1)),
+        v AS (SELECT k AS name, n::DOUBLE AS value FROM g WHERE k IN ('traps', 'orphans', 'secrets') UNION ALL SELECT 'blank_share', round(blank, 6) FROM m UNION ALL SELECT 'duplicate_ids', n FROM d
+              UNION ALL SELECT 'usable_judges', count(*) FROM u UNION ALL SELECT 'recall', recall FROM r UNION ALL SELECT 'mrr', mrr FROM r)
+        SELECT name AS "check", value, side, bound, coalesce(CASE side WHEN 'most' THEN value <= bound ELSE value >= bound END, FALSE) AS passed FROM v JOIN (VALUES {floors}) f(name, side, bound) USING (name)"""
+
+
+def publish_gate_verdicts(spark, d):
+    """Whether the answers may be published: each measure of the gate, its bound, and whether it is kept; all must be."""
+    counts = cut(publish_gate_answers(spark, d))
+    value = lambda k: F.max(F.when(F.col("check") == k, F.col("n"))).cast("double")
+    a = table(spark, d, "answers_gemini").filter("id is not null")
+    own = counts.agg(value("traps").alias("traps"), value("orphans").alias("orphans"), value("secrets").alias("secrets"), F.round(F.try_divide(value("blank_answers"), value("rows")), 6).alias("blank_share"))
+    twice = a.groupBy("id").agg(F.count_distinct("question").alias("q")).agg(F.count_if(F.col("q") > 1).cast("double").alias("duplicate_ids"))
+    judges = usable_judges(spark, d).agg(F.count("*").cast("double").alias("usable_judges"))
+    one = own.join(F.broadcast(twice)).join(F.broadcast(judges)).join(F.broadcast(retrieval_eval(spark, d).select("recall", "mrr")), how="left")
+    return gate.verdicts(one, FLOORS)
+
+
 # --- actions
 
 
@@ -627,14 +754,14 @@ def actions_run(spark, d):
 
 # --- retrieval
 
-_PM = "pm AS (SELECT id, min(title) AS title, min(text) AS text FROM postmortems WHERE id IS NOT NULL AND text IS NOT NULL GROUP BY id)"
+_PM = "pm AS (SELECT id, title, text FROM (SELECT DISTINCT id, title, text FROM postmortems WHERE id IS NOT NULL AND text IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY text, title NULLS FIRST) = 1)"
 _CHUNKS = _PM + r""", parts AS (SELECT id AS doc_id, title, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ps FROM pm),
     ch0 AS (SELECT doc_id, title, unnest(ps) AS s, generate_subscripts(ps, 1) - 1 AS i FROM parts),
     ch AS (SELECT doc_id || '::' || i AS chunk_id, doc_id, concat_ws('. ', title, trim(s, ' ')) AS chunk FROM ch0 WHERE trim(s, ' ') <> '')"""
 
 
 def _postmortems(spark, d) -> DataFrame:
-    return table(spark, d, "postmortems").filter("id is not null and text is not null").groupBy("id").agg(F.min("title").alias("title"), F.min("text").alias("text"))
+    return table(spark, d, "postmortems").filter("id is not null and text is not null").groupBy("id").agg(F.min(F.struct("text", "title")).alias("m")).select("id", "m.title", "m.text")
 
 
 @query(f"WITH {_CHUNKS} SELECT chunk_id, doc_id, chunk FROM ch")
@@ -653,9 +780,12 @@ _BM25 = _CHUNKS + r""", w AS (SELECT chunk_id, doc_id, regexp_extract_all(lower(
     top AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM be QUALIFY rank <= 5)"""
 
 
+def _questions(spark, d) -> DataFrame:
+    return table(spark, d, "answers_gemini").filter("id is not null").groupBy(F.col("id").alias("query_id")).agg(F.min("question").alias("query"))
+
+
 def _top(spark, d) -> DataFrame:
-    qs = table(spark, d, "answers_gemini").filter("id is not null").groupBy(F.col("id").alias("query_id")).agg(F.min("question").alias("query"))
-    return retrieve.bm25_top(retrieve.chunk_documents(_postmortems(spark, d)), qs)
+    return retrieve.bm25_top(retrieve.chunk_documents(_postmortems(spark, d)), _questions(spark, d))
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM top")
@@ -664,6 +794,13 @@ def bm25_top_postmortems(spark, d):
     return rounded(_top(spark, d))
 
 
+@query(f"""WITH {_BM25}, c5 AS (SELECT DISTINCT chunk_id FROM ch ORDER BY chunk_id LIMIT 5), every AS (SELECT query_id, chunk_id, round(max(score), 9) AS score FROM (SELECT query_id, chunk_id, score FROM sc UNION ALL SELECT query_id, chunk_id, 0.0 FROM qs, c5) GROUP BY ALL)
+    SELECT query_id, chunk_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INT AS rank FROM every QUALIFY rank <= 5""")
+def bm25_chunks_postmortems(spark, d):
+    """The five best chunks for each question; chunks without a word of it fill up."""
+    return rounded(retrieve.search_chunks(retrieve.chunk_documents(_postmortems(spark, d)), _questions(spark, d)))
+
+
 @query(f"""WITH {_BM25}, g AS (SELECT id, min(gold_doc_ids) AS gold FROM answers_gemini WHERE id IS NOT NULL GROUP BY id), l AS (SELECT query_id, list(doc_id ORDER BY rank) AS got FROM top GROUP BY query_id),
     x AS (SELECT len(list_intersect(gold, coalesce(got, []))) / len(list_distinct(gold))::DOUBLE AS r, (SELECT min(i) FROM range(1, len(got) + 1) t(i) WHERE list_contains(gold, got[i])) AS f FROM g LEFT JOIN l ON g.id = l.query_id WHERE len(gold) > 0)
     SELECT count(*) AS n, round(avg(r), 3) AS recall, round(avg(coalesce(1.0::DOUBLE / f, 0)), 3) AS mrr FROM x""")
@@ -681,16 +818,20 @@ def build_context_answers(spark, d):
     return retrieve.build_context(a, "id", "ds", _postmortems(spark, d))
 
 
-@query("""SELECT DISTINCT id, _judge AS rater, judged_at, faithfulness AS f, coverage AS c FROM judged_gemini_by_gemini WHERE id IS NOT NULL""")
+@query("""SELECT DISTINCT id, _judge AS rater, judged_at, CASE WHEN citation IS NOT NULL THEN faithfulness END AS f, CASE WHEN citation IS NOT NULL THEN coverage END AS c, citation IS NULL AS parse_fail FROM judged_gemini_by_gemini WHERE id IS NOT NULL""")
 def parse_judgement_round_trip(spark, d):
-    """Scores wrapped into a judge's chatter and parsed back."""
+    """Scores wrapped into a judge's chatter and parsed back; rows without a citation score stand for chatter without scores."""
     j = table(spark, d, "judged_gemini_by_gemini").filter("id is not null")
-    said = F.concat(F.lit("Here is my verdict:\n"), F.to_json(F.struct("faithfulness", "coverage")), F.lit("\nThank you."))
+    scores = F.when(F.col("citation").isNotNull(), F.to_json(F.struct("faithfulness", "coverage"))).otherwise("{none")
+    said = F.concat(F.lit("Here is my verdict:\n"), scores, F.lit("\nThank you."))
     v = retrieve.parse_judgement(said)
-    return j.select("id", F.col("_judge").alias("rater"), "judged_at", F.try_variant_get(v, "$.faithfulness", "string").alias("f"), F.try_variant_get(v, "$.coverage", "string").alias("c")).distinct()
+    return j.select("id", F.col("_judge").alias("rater"), "judged_at", F.try_variant_get(v, "$.faithfulness", "string").alias("f"), F.try_variant_get(v, "$.coverage", "string").alias("c"), v.isNull().alias("parse_fail")).distinct()
 
 
 @query("""SELECT DISTINCT id, type, question, answer, NULL::INT AS human_faithfulness, NULL::INT AS human_citation, NULL::INT AS human_coverage FROM answers_gemini""")
 def label_template_answers(spark, d):
     """Answers as rows to be labelled by people."""
     return table(spark, d, "answers_gemini").select("id", "type", "question", "answer", *(F.lit(None).cast("int").alias(f"human_{a}") for a in _AXES)).distinct()
+
+
+query(_verdict_sql())(publish_gate_verdicts)

@@ -10,6 +10,7 @@ from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql import functions as F
 
 
@@ -54,6 +55,40 @@ def http_json(url: str, timeout: float = 30.0, headers: dict[str, str] | None =
         return json.load(r)
 
 
+class HttpJson(DataSource):
+    """spark.read.format("http_json").option("urls", "https://a https://b").load(): (url, payload, error), a row per address.
+
+    Register it with spark.dataSource.register(HttpJson). Each address is a partition of its own. Addresses of any other
+    scheme are refused before anything is opened; an address that can't be read gives its error and no payload."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "http_json"
+
+    def schema(self) -> str:
+        return "url string, payload string, error string"
+
+    def reader(self, schema) -> "HttpJsonReader":
+        return HttpJsonReader(self.options.get("urls", "").split(), float(self.options.get("timeout", 30)))
+
+
+class HttpJsonReader(DataSourceReader):
+    def __init__(self, urls: list[str], timeout: float) -> None:
+        for url in urls:
+            if urlsplit(url).scheme not in ("http", "https"):
+                raise ValueError(f"not an http address: {url}")
+        self.urls, self.timeout = urls, timeout
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(url) for url in self.urls]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        try:
+            yield partition.value, json.dumps(http_json(partition.value, self.timeout), ensure_ascii=False), None
+        except Exception as e:  # noqa: BLE001
+            yield partition.value, None, f"{type(e).__name__}: {e}"
+
+
 def harvest(entities: DataFrame, fetch: Callable[[str], object], *, retries: int = 2, pause: float = 0.0) -> DataFrame:
     """(id, payload, error) of each distinct entity: its record as JSON, or why it couldn't be fetched after the retries.
 

@@ -226,3 +226,52 @@ def test_streams(spark, tmp_path):
     assert out["up"].crossed_at is not None and out["flat"].crossed_at is None
     out = run(monitor.windowed_sequence(stream, "k", "v", "ts", 1.0, window="2 hours", late="10 minutes"), "complete", "wins")
     assert out["up"].n == 200
+
+
+def test_http_source(spark):
+    import http.server
+    import threading
+
+    class Page(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            ok = self.path == "/a"
+            self.send_response(200 if ok else 404)
+            self.end_headers()
+            self.wfile.write(b'{"x": 1}' if ok else b"no")
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Page)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(records.HttpJson)
+    at = f"http://127.0.0.1:{server.server_port}"
+    got = {r.url: (r.payload, r.error) for r in spark.read.format("http_json").option("urls", f"{at}/a {at}/b").load().collect()}
+    server.shutdown()
+    assert got[f"{at}/a"] == ('{"x": 1}', None) and got[f"{at}/b"][0] is None and "404" in got[f"{at}/b"][1]
+    with pytest.raises(Exception, match="not an http address"):
+        spark.read.format("http_json").option("urls", "file:///etc/hosts").load().collect()
+
+
+def test_csv_through_the_gate(spark, tmp_path):
+    """Read a CSV file, then hold it to the completeness gate."""
+    (tmp_path / "c.csv").write_text("id,text,level\n1,a,x\n2,,?9\n4,d,\n")
+    rows = records.csv_records(spark, str(tmp_path / "c.csv"), "id bigint, text string, level string")
+    found = gate.completeness_gate(rows, "id", ["text"], ["level"], ["level"], expected=spark.range(1, 5).withColumnRenamed("id", "i"))
+    got = {(r["check"], r.field): (r.n, r.fails) for r in found.collect()}
+    assert got["missing", "text"] == (1, True) and got["empty", "level"] == (1, False) and got["uncollected", None] == (1, True) and got["passed", None][1]
+
+
+def test_replay_through_the_judge(spark, tmp_path):
+    """Saved predictions, keyed by id with notes about the file, judged against the labels."""
+    (tmp_path / "p.json").write_text('{"_model": "m", ' + ", ".join(f'"{k}": {{"A": "normal", "B": "{"alert" if k % 2 else "normal"}"}}' for k in range(40)) + "}")
+    saved = records.json_by_id(spark, str(tmp_path / "p.json"), "A string, B string").select("id", "value.*")
+    labels = spark.range(40).selectExpr("cast(id as string) as id", "if(id % 2 = 1, 'alert', 'normal') as label", "'k' as kind")
+    rows = labels.join(saved, "id")
+    got = {r["of"]: r for r in evaluate.paired_ab(rows, F.col("id"), F.col("label"), F.col("A"), F.col("B"), [], rule=F.lit("alert"), iters=200).collect()}
+    assert (got["A"].estimate, got["B"].estimate, got["B-A"].estimate, got["B-rule"].estimate) == (0.5, 1.0, 0.5, 0.5) and got["B-A"].robust_positive
+    report = evaluate.ab_report(rows, F.col("id"), F.col("label"), F.col("A"), F.col("B"), iters=200).first()
+    assert report.finding == "better" and report.verdict == "adopt" and report.n == 40
+    assert evaluate.ab_errors(rows, "id", F.col("label"), F.col("A"), F.col("B")).groupBy("of").count().collect() == [("A", 20)]
+    none = evaluate.ab_report(rows.filter("false"), F.col("id"), F.col("label"), F.col("A"), F.col("B"), iters=20)
+    assert none.count() == 0
