@@ -1,12 +1,11 @@
 """Evaluation texts inside a training corpus, by latent semantic retrieval.
 
-Passages of all documents are counted over the vocabulary of the evaluation items: how many passages hold a word, and how
-many hold two words together. From these moments of the TF-IDF matrix, summed over all tasks, a randomized subspace
-iteration gives its leading right singular vectors. Then every passage of every document is projected and compared with
-all items by cosine; candidates are checked by the longest common subsequence of their words and by whether the words
-that tell the item from others (the answer) are among it.
-
-What the driver and the tasks hold is bounded by the items' vocabulary, not by the corpus.
+All passages of all documents are counted for the words' weights. A randomized SVD of the TF-IDF matrix of passages (a
+sample bounded by a parameter, chosen by hash) gives the leading right singular vectors: products of the matrix and its
+transpose with a sketch are summed by the tasks, so no product of words with words exists anywhere. Then every passage of
+every document is searched: an inverted index over the rarest words of the items leaves the items that it can hold, these
+are compared with it by cosine in the latent space, and candidates are checked by the longest common subsequence of their
+words and by whether the words that tell the item from others (the answer) are among it.
 """
 
 from __future__ import annotations
@@ -14,13 +13,17 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assay.sources.tables import cut
+
 _INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _EMPHASIS = re.compile(r"[*_~`]+")
@@ -80,179 +83,291 @@ def lcs_pairs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def _bounds(n: int, span: int, differ: int) -> tuple[int, int]:
+    """Words of an item's window, and how many of them a passage must hold."""
+    span = min(span, n)
+    return min(span + 1, n), span - (-(-span // differ)) - 1
+
+
 def holds(item: list[str], weight: list[float], passage: list[str], span: int = 12, differ: int = 6) -> bool:
     """Whether the passage holds span words in a row of the item, or as many but for one in `differ`.
 
     Of a window of one word more than span, at most one in `differ` of span and one at its rim may be missing, in about
-    as many words of the passage; the matched words must make up most of the window's weight, lest common phrases do."""
-    span = min(span, len(item))
-    need = span - (-(-span // differ)) - 1
+    as many words of the passage; the matched words must make up most of the window's weight, lest common phrases do.
+    Each window is aligned by itself with each stretch of the passage that holds enough of its words."""
+    wide, need = _bounds(len(item), span, differ)
     known = set(passage)
-    wide = min(span + 1, len(item))
     hit = [w in known for w in item]
-    # Windows that even without regard to order hold too few of the words, or too little of the weight, can't match.
-    starts = [
-        s for s in range(len(item) - wide + 1)
-        if sum(hit[s : s + wide]) >= need and sum(weight[k] for k in range(s, s + wide) if hit[k]) >= 0.6 * sum(weight[s : s + wide])
-    ]
-    if not starts:
-        return False
-    at = dict(lcs_pairs(item, passage))
-    for s in starts:
-        got = [(k, at[k]) for k in range(s, s + wide) if k in at]
-        if len(got) >= need and got[-1][1] - got[0][1] <= wide + 3 and sum(weight[k] for k, _ in got) >= 0.6 * sum(weight[s : s + wide]):
-            return True
+    reach = wide + 4
+    for s in range(len(item) - wide + 1):
+        whole = sum(weight[s : s + wide])
+        # Windows that even without regard to order hold too few of the words, or too little of the weight, can't match.
+        if sum(hit[s : s + wide]) < need or sum(weight[k] for k in range(s, s + wide) if hit[k]) < 0.6 * whole:
+            continue
+        own = set(item[s : s + wide])
+        at = [k for k, w in enumerate(passage) if w in own]
+        tried = -1
+        for k, o in enumerate(at):
+            upto = next((j for j in range(len(at) - 1, k - 1, -1) if at[j] < o + reach), k)
+            if upto - k + 1 < need or upto == tried and k and at[k - 1] + reach > at[upto]:
+                continue
+            got = lcs_pairs(item[s : s + wide], passage[o : o + reach])
+            if len(got) >= need and got[-1][1] - got[0][1] <= wide + 3 and sum(weight[s + i] for i, _ in got) >= 0.6 * whole:
+                return True
     return False
 
 
-def moments(docs: DataFrame, vocabulary: list[str], size: int) -> tuple[np.ndarray, int]:
-    """Numbers of passages that hold each pair of words (each word, on the diagonal), and of all passages."""
-    index, n = {w: i for i, w in enumerate(vocabulary)}, len(vocabulary)
+class Vocabulary(dict):
+    """Numbers of words: the items' own words first, all others by hash in `others` places after them."""
+
+    def __init__(self, words: list[str], others: int) -> None:
+        super().__init__({w: i for i, w in enumerate(words)})
+        self.own, self.others = len(words), others
+
+    def __missing__(self, word: str) -> int:
+        at = self.own + zlib.crc32(word.encode("utf-8", "replace")) % self.others
+        if len(word) < 30 and len(self) < self.own + 500_000:
+            self[word] = at
+        return at
+
+    def __reduce__(self):
+        return Vocabulary, (list(self)[: self.own], self.others)
+
+    def ids(self, ws: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, ws), dtype=np.int32, count=len(ws))
+
+
+def once(rows: np.ndarray) -> np.ndarray:
+    """Rows of ids with each id once, filled up with -1."""
+    rows = -np.sort(-rows, axis=1)
+    rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = -1
+    return rows
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c, passages = np.zeros(n * n, dtype=np.int32), 0
+
+def passage_counts(docs: DataFrame, vocabulary: Vocabulary, size: int) -> tuple[np.ndarray, int]:
+    """Numbers of passages that hold each word (or place of other words), over all documents, and of all passages."""
+    shared, n = docs.sparkSession.sparkContext.broadcast(vocabulary), vocabulary.own + vocabulary.others
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, c, passages = shared.value, np.zeros(n, dtype=np.int64), 0
         for b in batches:
-            parts = []
-            for text in b["text"]:
-                ids = np.fromiter((index.get(w, -1) for w in words(text)), dtype=np.int32)
-                if len(ids):
-                    parts.append(windows(ids, size, size))
-            if not parts:
-                continue
-            rows = -np.sort(-np.concatenate(parts), axis=1)
-            passages += len(rows)
-            rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = -1  # a word counts once in a passage
-            rows = -np.sort(-rows, axis=1)
-            filled = (rows >= 0).sum(1)
-            for low, high in ((0, 4), (4, 8), (8, 12), (12, size)):
-                r = rows[(filled > low) & (filled <= high)][:, :high]
-                for chunk in np.array_split(r, len(r) // 20_000 + 1):
-                    both = chunk[:, :, None].astype(np.int64) * n + chunk[:, None, :]
-                    keep = (chunk[:, :, None] >= 0) & (chunk[:, None, :] >= 0)
-                    np.add.at(c, both[keep], 1)
-        at = np.nonzero(c)[0]
-        yield pd.DataFrame({"at": np.append(at, -1), "n": np.append(c[at].astype(np.int64), passages)})
-
-    got = docs.mapInPandas(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+            parts = [windows(at.ids(ws), size, size) for ws in map(words, b.column(0).to_pylist()) if ws]
+            if parts:
+                rows = once(np.concatenate(parts))
+                passages += len(rows)
+                c += np.bincount(rows[rows >= 0], minlength=n)
+        where = np.nonzero(c)[0]
+        yield pa.RecordBatch.from_pydict({"at": np.append(where, -1), "n": np.append(c[where], passages)})
+
+    got = docs.select("text").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     at, num = got["at"].to_numpy(), got["n"].to_numpy()
-    c = np.zeros(n * n)
+    c = np.zeros(n)
     c[at[at >= 0]] = num[at >= 0]
-    return c.reshape(n, n), int(num[at < 0].sum())
+    return c, int(num[at < 0].sum())
+
+
+def gather(rows: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Products of sparse rows (ids of entries of one, -1 for none) with a matrix."""
+    out = np.zeros((len(rows), matrix.shape[1]), dtype=np.float32)
+    for j in range(rows.shape[1]):
+        k = np.nonzero(rows[:, j] >= 0)[0]
+        out[k] += matrix[rows[k, j]]
+    return out
+
+
+def normal_product(passages: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """A'(A q) for the TF-IDF matrix A of the passages (array column ids): every task multiplies its passages and sums by
+    word, and the words' sums are added up by the tasks after it. Only words by columns of q come to the driver."""
+    shared = passages.sparkSession.sparkContext.broadcast((idf.astype(np.float32), q.astype(np.float32)))
+    width = q.shape[1]
+
+    def batch(at: np.ndarray, z: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(z.ravel()), width).cast(pa.list_(pa.float32()))], names=["word", "z"])
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, q = shared.value
+        scaled, total = q * idf[:, None], None
+        for b in batches:
+            rows = b.column(0).flatten().to_numpy().reshape(len(b), -1)
+            for part in np.array_split(rows, len(rows) // 2000 + 1):
+                y = gather(part, scaled)
+                p, j = np.nonzero(part >= 0)
+                w = part[p, j]
+                order = np.argsort(w, kind="stable")
+                at, first = np.unique(w[order], return_index=True)
+                z = np.add.reduceat(y[p[order]], first, axis=0) * idf[at, None] if len(at) else np.zeros((0, width), np.float32)
+                if total is None:
+                    total = np.zeros_like(q)
+                total[at] += z
+        if total is not None:
+            at = np.nonzero(total.any(1))[0]
+            for part in np.array_split(at, len(at) // 5000 + 1):
+                yield batch(part, total[part])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            z = b.column(1).flatten().to_numpy().reshape(len(b), -1)
+            for k, w in enumerate(b.column(0).to_pylist()):
+                sums[w] = sums[w] + z[k] if w in sums else z[k].copy()
+        if sums:
+            yield batch(np.array(list(sums)), np.stack(list(sums.values())))
+
+    schema = "word int, z array<float>"
+    got = passages.mapInArrow(multiply, schema).repartition("word").mapInArrow(add, schema).toArrow()
+    out = np.zeros(q.shape)
+    if got.num_rows:
+        out[got["word"].to_numpy()] = got["z"].combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
+    return out
 
 
-def right_singular(gram: np.ndarray, rank: int, rounds: int = 3, seed: int = 42) -> np.ndarray:
-    """Leading right singular vectors of a matrix from its moments, by randomized subspace iteration."""
-    n = len(gram)
-    if n <= rank:
-        return np.eye(n)
-    q = np.random.default_rng(seed).standard_normal((n, min(n, rank + 16)))
+def right_singular(product, n: int, rank: int, rounds: int = 2, seed: int = 42) -> np.ndarray:
+    """Leading right singular vectors of a matrix with n columns by randomized subspace iteration; product(q) is A'(A q)."""
+    q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, min(n, rank + 16))))
     for _ in range(rounds):
-        q, _ = np.linalg.qr(gram @ q)
-    value, vector = np.linalg.eigh(q.T @ gram @ q)
+        q, _ = np.linalg.qr(product(q))
+    value, vector = np.linalg.eigh(q.T @ product(q))
     return q @ vector[:, np.argsort(-value)[:rank]]
 
 
 class Index:
-    """The items as projected queries over their vocabulary."""
+    """The items as projected queries, and the inverted index of their rarest words."""
 
-    def __init__(self, docs: DataFrame, items: list[tuple[int, str]], rank: int, size: int, max_vocabulary: int) -> None:
+    def __init__(self, docs: DataFrame, items: list[tuple[int, str]], rank: int, size: int, fit_passages: int, others: int) -> None:
         self.size = size
-        self.items = [(i, words(text)) for i, text in items]
-        self.items = [(i, w) for i, w in self.items if w]
-        vocabulary = sorted({w for _, ws in self.items for w in ws})
-        if len(vocabulary) > max_vocabulary:
-            raise ValueError(f"the items hold more than {max_vocabulary} different words")
-        self.at = {w: i for i, w in enumerate(vocabulary)}
-        counts, passages = moments(docs, vocabulary, size)
-        self.idf = np.log1p((1 + passages) / (1 + counts.diagonal()))
-        #: Weight of a word outside the items' vocabulary: that of one in every tenth passage.
-        self.other = np.log1p(10.0)
+        self.items = [(i, w) for i, w in ((i, words(text)) for i, text in items) if w]
+        self.at = Vocabulary(sorted({w for _, ws in self.items for w in ws}), others)
+        counts, passages = passage_counts(docs, self.at, size)
+        self.idf = np.log1p((1 + passages) / (1 + counts))
         self.weight = [[float(self.idf[self.at[w]]) for w in ws] for _, ws in self.items]
         half = size // 2
-        own, owner = [], []
-        for k, (_, ws) in enumerate(self.items):
-            ids = np.array([self.at[w] for w in ws], dtype=np.int32)
-            rows = windows(ids, half, max(1, half // 2))
-            own.append(rows)
-            owner += [k] * len(rows)
-        q = self.rows(np.concatenate(own))
+        own = [once(windows(self.at.ids(ws), half, max(1, half // 2))) for _, ws in self.items]
+        #: The rows of queries of each item.
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+        rows = np.concatenate(own)
+        share = min(1.0, fit_passages / max(1, passages))
+        sample = cut(_passages(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003), self.at, size))
+        fitted = sample.count()
         # The items' own passages count as much as the corpus, lest its frequent words take all directions.
-        gram = counts * self.idf[:, None] * self.idf[None, :]
-        items_gram = q.T @ q
-        gram += items_gram * (gram.trace() / max(items_gram.trace(), 1e-9))
-        self.basis = right_singular(gram, rank).astype(np.float32)
-        z = q @ self.basis
-        self.queries = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-        self.owner = np.array(owner)
-        self.scaled = (self.basis * self.idf[:, None]).astype(np.float32)
-
-    def rows(self, ids: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(ids), len(self.idf)))
-        for j in range(ids.shape[1]):
-            k = ids[:, j] >= 0
-            x[np.nonzero(k)[0], ids[k, j]] = self.idf[ids[k, j]]
-        return x
-
-    def candidates(self, ids: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(passage, item) with a cosine of at least `least`; a passage whose words in the vocabulary can't reach it is passed over."""
-        rows = windows(ids, self.size, self.size // 2)
-        inside = rows >= 0
-        energy = np.where(inside, np.append(self.idf, 0)[rows] ** 2, 0).sum(1)
-        whole = energy + self.other**2 * (self.size - inside.sum(1))
-        hit = np.nonzero(energy >= least**2 * whole)[0]
-        if not len(hit):
-            return hit, hit
-        z = np.zeros((len(hit), self.basis.shape[1]), dtype=np.float32)
-        for j in range(self.size):
-            k = inside[hit, j]
-            z[k] += self.scaled[rows[hit[k], j]]
-        cos = (z @ self.queries.T) / np.sqrt(whole[hit])[:, None]
-        p, q = np.nonzero(cos >= least)
-        return hit[p], self.owner[q]
+        much = fitted / len(rows)
+        idf = self.idf.astype(np.float32)
+
+        def product(q: np.ndarray) -> np.ndarray:
+            z = normal_product(sample, self.idf, q) if fitted else np.zeros_like(q)
+            y = gather(rows, (q * idf[:, None]).astype(np.float32))
+            p, j = np.nonzero(rows >= 0)
+            np.add.at(z, rows[p, j], y[p] * idf[rows[p, j], None] * max(much, 1e-9))
+            return z
+
+        n = self.at.own + others
+        basis = right_singular(product, n, min(rank, n))
+        self.scaled = (basis * self.idf[:, None]).astype(np.float32)
+        z = gather(rows, self.scaled)
+        self.queries = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+        self.words = [frozenset(ws) for _, ws in self.items]
+        self.need = [_bounds(len(ws), half, 6)[1] for _, ws in self.items]
+        self.postings, self.least = self._anchors(half)
+
+    def _anchors(self, span: int, more: int = 3) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """word -> items, of the rarest words of each window, and how many of an item's a passage that holds it must have.
+
+        As many words of a window may be missing as holds() allows, so of that many and `more` at least `more` are there."""
+        found: dict[str, set[int]] = {}
+        least = np.full(len(self.items), 10**6)
+        for k, (_, ws) in enumerate(self.items):
+            wide, need = _bounds(len(ws), span, 6)
+            for s in range(len(ws) - wide + 1):
+                own = sorted(set(ws[s : s + wide]), key=lambda w: (-self.idf[self.at[w]], w))[: wide - need + more]
+                least[k] = min(least[k], max(1, len(own) - (wide - need)))
+                for w in own:
+                    found.setdefault(w, set()).add(k)
+        return {w: np.array(sorted(ks), dtype=np.int32) for w, ks in found.items()}, least
+
+    def candidates(self, ws: list[str], least: float) -> Iterator[tuple[int, int]]:
+        """(first word, item) of the passages that may hold an item: by the inverted index, then by the cosine."""
+        half = self.size // 2
+        hits = [k for k, w in enumerate(ws) if w in self.postings]
+        if not hits:
+            return
+        last = max(0, -(-(len(ws) - self.size) // half))
+        for p in sorted({q for k in hits for q in (k // half - 1, k // half) if 0 <= q <= last} | ({last} if hits[-1] >= last * half else set())):
+            part = ws[p * half : p * half + self.size]
+            own = set(part)
+            found = [self.postings[w] for w in own if w in self.postings]
+            if not found:
+                continue
+            item, n = np.unique(np.concatenate(found), return_counts=True)
+            z = None
+            for k in item[n >= self.least[item]].tolist():
+                if len(self.words[k] & own) < min(self.need[k], len(self.words[k])):
+                    continue
+                if z is None:
+                    ids = once(windows(self.at.ids(part), self.size, self.size))[:1]
+                    z = gather(ids, self.scaled)[0]
+                    z = z / max(float(np.sqrt((self.idf[ids[ids >= 0]] ** 2).sum())), 1e-9)
+                if (self.queries[self.first[k] : self.first[k + 1]] @ z).max() >= least:
+                    yield p * half, k
+
+
+def _passages(docs: DataFrame, vocabulary: Vocabulary, size: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = shared.value
+        for b in batches:
+            parts = [windows(at.ids(ws), size, size) for ws in map(words, b.column(0).to_pylist()) if ws]
+            if parts:
+                rows = once(np.concatenate(parts))
+                yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), size).cast(pa.list_(pa.int32()))], names=["ids"])
+
+    return docs.select("text").mapInArrow(run, "ids array<int>")
 
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    rank: int = 512, passage: int = 24, least: float = 0.22, max_items: int = 20_000, max_vocabulary: int = 5_000, check: bool = True,
+    rank: int = 256, passage: int = 24, least: float = 0.2, block_items: int = 20_000, fit_passages: int = 100_000, others: int = 4096, check: bool = True,
 ) -> DataFrame:
     """(item_id, doc_id) of each document that holds an item's text or at least 12 words in a row of it, where one word in
     six may differ. A text that occurs twice counts for each document; a pair is given once.
 
-    Null and empty texts hold nothing and are held by none, rows without id are left out; an item of fewer than 12 words counts when the document has
-    all of it but for one word in six. The items, their vocabulary (at most max_items and max_vocabulary, more are
-    refused) and the fitted vectors are broadcast; all documents are counted and searched. Without check, all pairs of
-    documents and items that pass the cosine are given."""
+    Null and empty texts hold nothing and are held by none, rows without id are left out; an item of fewer than 12 words
+    counts when the document has all of it but for one word in six. block_items items at a time, with their vocabulary and
+    vectors (rank numbers a word, with `others` places for all words that no item has), are sent to the executors; more are
+    searched in further passes. The vectors are fitted on at most about fit_passages passages, chosen by hash of the
+    document; words are counted over all passages and all documents are searched. Without check, all pairs of documents and
+    items that pass the cosine are given."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
-    rows = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null").distinct().orderBy("i", "t").limit(max_items + 1).collect()
-    if len(rows) > max_items:
-        raise ValueError(f"more than {max_items} items")
     schema = "item_id bigint, doc_id bigint"
-    if not any(words(r.t) for r in rows):
-        return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast(Index(texts, [(r.i, r.t) for r in rows], rank, passage, max_vocabulary))
+    rows = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null").distinct()
+    if (total := rows.count()) > block_items:
+        rows = cut(rows)
+    blocks = -(-total // block_items) or 1
+    found = []
+    for k in range(blocks):
+        own = (rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)).orderBy("i", "t").collect()
+        if any(words(r.t) for r in own):
+            found.append(_search(texts, Index(texts, [(r.i, r.t) for r in own], rank, passage, fit_passages, others), least, check))
+    return reduce(DataFrame.unionByName, found).distinct() if found else spark.createDataFrame([], schema)
+
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _search(texts: DataFrame, index: Index, least: float, check: bool) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(index)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        half = index.size // 2
         for b in batches:
-            found = []
-            for doc, text in zip(b["doc_id"], b["text"]):
+            found = set()
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ws = words(text)
-                if not ws:
-                    continue
-                ids = np.fromiter((index.at.get(w, -1) for w in ws), dtype=np.int32, count=len(ws))
-                at, item = index.candidates(ids, least)
-                for k in np.unique(item):
+                for at, k in index.candidates(ws, least):
                     name, iw = index.items[k]
-                    if not check:
-                        found.append((name, doc))
+                    if (name, doc) in found:
                         continue
                     reach = len(iw) + 4
-                    for p in np.unique(at[item == k]):
-                        if holds(iw, index.weight[k], ws[max(0, p * half - reach) : p * half + index.size + reach]):
-                            found.append((name, doc))
-                            break
-            yield pd.DataFrame(sorted(set(found)), columns=["item_id", "doc_id"]).astype("int64")
+                    if not check or holds(iw, index.weight[k], ws[max(0, at - reach) : at + index.size + reach]):
+                        found.add((name, doc))
+            pairs = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], pa.int64()), pa.array([d for _, d in pairs], pa.int64())], names=["item_id", "doc_id"])
 
-    return texts.mapInPandas(search, schema).distinct()
+    return texts.mapInArrow(search, "item_id bigint, doc_id bigint")
