@@ -1,9 +1,11 @@
 """Defects of prompt and response pairs: empty, copied, refused, in another language, or broken off.
 
 Copies are found by aligning response and prompt: shingle containment first, then the longest common subsequence of
-their tokens. Refusals are found by aligning the response, or its sentences, with refusal templates in the same way. A
-sentence's slots take any number of words, but an answer that turns to something else (but, however), or has a sentence
-besides that is neither a refusal nor a remark on one, is none. Whether a response without a final stop is broken off is decided by how often its last words end a sentence, or go on, in all responses.
+their tokens. Refusals are found by aligning the response's sentences with refusal templates in the same way. A slot takes
+any number of words, but an answer that turns to something else (but, however), or has a sentence besides that is
+neither a refusal nor a remark on one, is none. Languages are told by script, then by function words; a response that has
+hardly any function word of the prompt's language is compared with the words that all other responses use. Whether a
+response without a final stop is broken off is decided by how often its last words end a sentence, or go on, in all responses.
 """
 
 from __future__ import annotations
@@ -18,55 +20,60 @@ from pyspark.sql import functions as F
 
 from assay.sources.tables import cut
 
-# Refusal templates; * takes up to eight words of a whole response, any number in a sentence.
+# Refusal templates over lower-case words without contractions; * takes any number of words, | is a choice.
 REFUSALS = """
-i don't know
-i do not know
-i am not sure
-i'm not sure
-i can't help with that
-i'm sorry but i can't help with that request
-i must decline to answer this question
-unable to determine from context
-cannot be determined from the context
-this is not something i can *
-this is not something i can * without access to internal reports
-for safety reasons the assistant does not discuss outages of critical services
-for safety reasons i do not discuss *
-it would not be appropriate for me to speculate about the reasons for this outage
-it would not be appropriate for me to *
-unfortunately the sources are silent on what happened at * no answer is possible
-nothing in the * refers to * i therefore cannot say
-nothing in the * speaks of * i therefore cannot say
-nothing in the * i therefore cannot say
-i do not have any details about * so i am unable to answer
-i do not have enough information to answer
-no comment can be made on *
-sorry questions about the * are outside of what i may discuss
-as an ai model i cannot comment on *
-as an ai language model i cannot *
-my training data does not cover the * event and i would rather not guess
-the provided documents do not contain this information
-the documents do not contain this information
-the context does not mention *
-there is no mention of * in the passages that i was given please supply more context
-there is no information about *
-i have no knowledge of an outage at * you may want to ask the * team
-i lack reliable information of an outage at * you may want to ask the * team
-i hold no record of an outage at * you may want to ask the * team
-i have no information about *
-i am unable to answer
-i cannot answer this question
-i can't answer that
-no answer is possible
-ich weiß es nicht
-das kann ich nicht beantworten
-dazu liegen mir keine informationen vor
-je ne sais pas
-je ne peux pas répondre à cette question
-no lo sé
-no puedo responder a esta pregunta
+i|we do not know *
+i|we am|are not sure|certain|aware *
+i|we * cannot|could answer|say|help|assist|tell|comment|discuss|provide|share|determine|confirm|speculate|find|give|offer|disclose|respond|comply *
+i|we * not answer|say|help|assist|comment|discuss|provide|share|speculate|find|disclose|guess *
+i|we am|are unable to *
+i|we am|are not able|allowed|permitted|authorized|authorised to *
+i|we have|hold|possess|found|find|see no information|knowledge|record|records|details|data|idea|answer|access|mention|evidence|comment *
+i|we do not have|possess|see|find|hold any|enough|the|sufficient|reliable|that|this|access|information|details|data *
+i|we lack *
+i|we must|have|need|will to|respectfully|decline|refuse *
+i|we decline|refuse to *
+i|we would|prefer|rather rather|prefer|not not|to *
+my training|knowledge * not cover|include|contain|extend|reach *
+as an ai * i|we not|cannot *
+as an ai * cannot|not *
+unable to answer|determine|say|find|tell|help|comment *
+not enough|sufficient information|context|data|details *
+it is not possible|clear|known|stated|mentioned *
+it would not be appropriate|right|possible *
+it is|remains impossible|unknown|unclear|uncertain *
+this|that is not something i|we *
+this|that|the * cannot be answered|determined|established|known|said *
+cannot be answered|determined|established|known|said *
+this|that|the information|detail|details|answer|data * not available|known|provided|given *
+* not available to me *
+no comment|answer|information|details|data|mention|record|statement is|can|was|are|on|about|of|available|possible|given *
+there is|are no information|mention|record|details|data|answer|evidence|reference *
+nothing in the|these|my documents|document|context|passages|passage|sources|source|excerpts|excerpt|notes|material|materials|texts|records|training *
+the|these|those|my|your|provided|given * documents|document|context|passages|passage|sources|source|excerpts|excerpt|notes|material|materials|texts|records * not|no|nothing *
+the|these|those|my|your * documents|document|context|passages|passage|sources|source|excerpts|excerpt|notes|material|materials|texts|records are|is silent *
+* outside|beyond of|the|my what|scope|knowledge|remit *
+for safety|security|privacy|legal|policy|confidentiality reasons * not|cannot *
+ich weiß * nicht *
+das weiß ich nicht *
+* kann|darf|möchte ich * nicht|keine *
+ich kann|darf|möchte|habe|finde|besitze * nicht|keine|keinen|kein|nichts *
+dazu|darüber|hierzu liegen|gibt|habe|finde|kann * keine|nichts|nicht *
+* liegen mir|uns keine *
+je ne|n'ai|n sais|peux|dispose|suis|ai pas *
+je n'ai|ne * aucune|pas *
+il * aucune information *
+no lo sé *
+no sé *
+no puedo|podemos|tengo|tenemos|dispongo|hay *
+lo siento * no *
+non|eu|não lo|posso|ho|sei|so *
+ik weet|kan het|niet|dat niet|antwoorden *
 """.strip().split("\n")
+# Words by which a sentence can decline; one without any isn't aligned.
+_CUES = frozenset("not cannot no nothing unable decline refuse lack silent impossible unknown unclear uncertain outside beyond rather nicht keine keinen kein nichts pas aucune ne non não niet".split())
+_CONTRACTIONS = {"n't": " not", "'m": " am", "'re": " are", "'d": " would", "'ve": " have", "'ll": " will", "'s": " is"}
+_JAPANESE_NO = re.compile("(?:わかりません|分かりません|お答えできません|回答できません|お答えしかねます|情報(?:は|が)(?:ありません|含まれていません|見つかりません)|記載(?:は|が)ありません)")
 # Function words by language.
 WORDS = {
     "en": "the a an of to in and was were is are that which with for on at by it not be this from after as had has have because when how what why who did its between there",
@@ -76,18 +83,38 @@ WORDS = {
     "it": "il lo la gli le di del della e è era una un in per con che non si da dal al come perché dopo sono stato",
     "pt": "o a os as de do da e é foi era uma um em para por com que não se ao no na como porque depois foram",
     "nl": "de het een en is was werd van in op te met voor niet dat die door aan bij na als omdat waarom hoe wij hebben",
+    "pl": "w z na do i nie to że się jest był była było po o od przez dla jak co który która które oraz ale już za przed gdy",
+    "sv": "och att det som en på är av för med den till inte har de ett om var så från vid men efter hade när blev",
+    "da": "og at det som en på er af for med den til ikke har de et om var så fra ved men efter havde da blev",
+    "tr": "ve bir bu da de için ile çok olarak olan daha sonra ancak gibi kadar değil oldu neden nasıl tarafından",
+    "fi": "ja on ei että se oli joka kun mutta myös sekä niin kuin hän ovat jälkeen mukaan koska ennen",
+    "cs": "a je se na že to v s z do byl byla bylo ale jako pro po který která které nebo od aby když",
+    "ro": "și de la în cu pe nu este a fost care că din pentru un o mai după prin sau dar când",
+    "hu": "a az és hogy nem is egy volt van meg ez mint csak de már után miatt mert amely",
+    "id": "yang dan di ke dari untuk dengan ini itu tidak pada adalah oleh karena setelah sebagai akan telah",
+    "vi": "và của là có được cho không trong một các này đã với khi người từ do vì sau",
 }
+# Scripts by ranges of letters.
+_SCRIPTS = {
+    "ja": "぀-ヿ", "ko": "가-힯ᄀ-ᇿ", "han": "㐀-䶿一-鿿", "cyrillic": "Ѐ-ԯ", "greek": "Ͱ-Ͽ", "arabic": "؀-ۿݐ-ݿ", "hebrew": "֐-׿", "devanagari": "ऀ-ॿ",
+    "bengali": "ঀ-৿", "tamil": "஀-௿", "thai": "฀-๿", "georgian": "Ⴀ-ჿ", "armenian": "԰-֏",
+}
 # What stands in for an answer.
 PLACEHOLDERS = set("null none nil nan n/a na tbd todo undefined empty blank void placeholder no output|no answer|not available|no response|no data".replace("|", " | ").split()) | {
     "no output", "no answer", "not available", "no response", "no data", "not applicable", "no content",
 }
-_OPENERS = r"^(?:(?:sure|certainly|of course|okay|ok|thank you for (?:the|your) question|great question|good question)[.,!:]*\s+)+"
+_OPENERS = r"^(?:(?:(?:i'm|i am|we are|we're) (?:very |truly |so )?(?:sorry|afraid)(?: that)?|sorry|apologies|unfortunately|regrettably|leider|entschuldigung|désolé|lo siento|at this time|currently)\b[.,!:]*(?:\s*,?\s*but\b)?[.,!:]*\s+|(?:sure|certainly|of course|okay|ok|thank you for (?:the|your) question|great question|good question)\b[.,!:]*\s+)+"
 _LABEL = r"^(?:(?:the\s+)?(?:final\s+)?(?:answer|response|output|reply|a|q|question|antwort|frage|réponse|respuesta|pregunta|you asked|your question(?: was| is)?|the question (?:was|is)|回答|質問)\s*[:：]\s*)+"
 _CITE = re.compile(r"\s*[\[【](?:\d+(?:\s*[,;]\s*\d+)*|(?:doc|source)s?\s*\d+)[\]】]", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿가-힯]|(?:(?![぀-ヿ㐀-鿿가-힯])[^\W_])+(?:['’](?:(?![぀-ヿ㐀-鿿가-힯])[^\W_])+)*")
-_CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _FUNC = {lang: frozenset(words.split()) for lang, words in WORDS.items()}
+_LANGS: dict[str, list[str]] = {}
+for _lang, _own in _FUNC.items():
+    for _w in _own:
+        _LANGS.setdefault(_w, []).append(_lang)
+_SCRIPT = {name: re.compile(f"[{r}]") for name, r in _SCRIPTS.items()}
+_OTHER = re.compile(f"[{''.join(_SCRIPTS.values())}]")
 _COUNT = {"two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "zwei": 2, "drei": 3, "deux": 2, "trois": 3, "dos": 2, "tres": 3} | {str(k): k for k in range(2, 10)}
 _END = re.compile(r"(?<=[.!?])(?=[\s\"'”’)\]*]|$)|(?<=[。！？])|\n")
 
@@ -138,21 +165,6 @@ def lcs(a: list[str], b: list[str]) -> int:
     return head + tail + len(a) - row.bit_count()
 
 
-_PLANS = [(t, [w for w in re.findall(r"[^\W_]+(?:'[^\W_]+)*", t)], t.count("*")) for t in REFUSALS]
-
-
-def is_refusal(words: list[str]) -> bool:
-    """Aligned with a template: nearly all of its words in their order, and hardly any other word than its slots take."""
-    if not words or len(words) > 45:
-        return False
-    here = set(words)
-    for _, plan, slots in _PLANS:
-        if len(words) <= len(plan) + 8 * slots + 2 and sum(w in here for w in plan) >= 0.85 * len(plan):
-            if lcs(plan, words) >= 0.85 * len(plan) and len(words) - len(plan) <= 8 * slots + 2 and (slots or len(words) <= 1.35 * len(plan) + 1):
-                return True
-    return False
-
-
 # Words by which a sentence turns to an answer, and how remarks on a refusal begin, or what they speak of.
 _TURN = frozenset("but however yet although though except whereas nevertheless nonetheless instead only".split())
 _REMARK = re.compile(
@@ -163,16 +175,23 @@ _SOURCES = frozenset("documents document context passages passage sources source
 _NONE = frozenset("no not none nothing neither nor without don't doesn't cannot can't isn't aren't".split())
 
 
-def _aligned(items: list[str], n: int, slots: int, words: list[str]) -> bool:
-    """A template's items (* a slot) against a sentence: at most 0.15 of its n words missing, and few words outside of the slots."""
-    if sum(w in _TURN for w in words) > sum(w in _TURN for w in items):
-        return False
+def plain_words(text: str) -> list[str]:
+    """Words in lower case with contractions written out."""
+    t = text.lower().replace("’", "'").replace("can't", "cannot").replace("can not", "cannot").replace("won't", "will not")
+    if "'" in t:
+        for short, long in _CONTRACTIONS.items():
+            t = t.replace(short, long)
+    return tokens(t)
+
+
+def _aligned(items: list[frozenset[str] | None], n: int, slots: int, words: list[str]) -> bool:
+    """A template's items (None a slot) against a sentence: at most 0.15 of its n words missing, and few words outside of the slots."""
     lost, most, far = int(0.15 * n), (2 if slots else int(0.35 * n) + 1), len(words) + n
 
     def skip(state: list[list[int]]) -> list[list[int]]:
         for i, item in enumerate(items):
             for m in range(lost + 1):
-                if item == "*":
+                if item is None:
                     state[i + 1][m] = min(state[i + 1][m], state[i][m])
                 elif m < lost:
                     state[i + 1][m + 1] = min(state[i + 1][m + 1], state[i][m])
@@ -183,40 +202,44 @@ def _aligned(items: list[str], n: int, slots: int, words: list[str]) -> bool:
     state[0][0] = 0
     state = skip(state)
     for w in words:
-        new = [[x + (i == len(items) or items[i] != "*") for x in row] for i, row in enumerate(state)]
+        new = [[x + (i == len(items) or items[i] is not None) for x in row] for i, row in enumerate(state)]
         for i, item in enumerate(items):
-            if item == w:
+            if item is not None and w in item:
                 new[i + 1] = [min(x, y) for x, y in zip(new[i + 1], state[i])]
         state = skip(new)
     return min(state[-1]) <= most
 
 
-_ITEMS = [(re.findall(r"[^\W_]+(?:'[^\W_]+)*|\*", t), len(plan), slots, frozenset(plan)) for t, plan, slots in _PLANS]
+_ITEMS = [([None if w == "*" else frozenset(w.split("|")) for w in t.split()], sum(w != "*" for w in t.split()), t.count("*")) for t in REFUSALS]
 
 
-def _matches(run: list[list[str]]) -> bool:
-    """Some template is aligned with the sentences; a slot at its end takes nothing of a second sentence."""
-    words = [w for x in run for w in x]
+def _matches(words: list[str]) -> bool:
+    """Some template is aligned with the sentence."""
     here = set(words)
-    return any(
-        len(own & here) + n - len(own) >= 0.85 * n and (len(run) == 1 or items[-1] != "*") and _aligned(items, n, slots, words)
-        for items, n, slots, own in _ITEMS
-    )
+    if not here & _CUES or here & _TURN:
+        return False
+    for items, n, slots in _ITEMS:
+        held = sum(not here.isdisjoint(x) for x in items if x is not None)
+        if held >= n - int(0.15 * n) and _aligned(items, n, slots, words):
+            return True
+    return False
 
 
 def declines(said: str) -> bool:
-    """Every sentence belongs to a refusal or is a remark on one, and there is a refusal."""
-    parts = [x for x, _ in _parts(said) if re.search(r"[^\W_]", x)]
-    i, refused = 0, False
-    while i < len(parts):
-        run = [tokens(x) for x in parts[i : i + 2]]
-        # A second sentence may be a template's end, so two are tried first.
-        k = next((k for k in (2, 1) if k <= len(run) and _matches(run[:k])), 0)
-        if not k:
-            here = set(run[0])
-            if here & _TURN or not (_REMARK.match(" ".join(run[0])) or here & _SOURCES and here & _NONE):
-                return False
-        refused, i = refused or k > 0, i + max(k, 1)
+    """Every sentence is a refusal or a remark on one, and there is a refusal."""
+    if _JAPANESE_NO.search(said) and len(re.findall("。", said)) <= 2:
+        return True
+    refused = False
+    for part, _ in _parts(said):
+        if not re.search(r"[^\W_]", part):
+            continue
+        words = plain_words(body(part))
+        if words and _matches(words):
+            refused = True
+            continue
+        here = set(words)
+        if here & _TURN or words and not (_REMARK.match(part.strip().lower()) or here & _SOURCES and here & _NONE):
+            return False
     return refused
 
 
@@ -233,19 +256,29 @@ def is_copy(question: list[str], answer: list[str]) -> bool:
 
 
 def language(text: str) -> tuple[str, int]:
-    """The language with the most function words, or cjk where such letters prevail, and how many words say so."""
-    cjk = len(_CJK.findall(text))
-    latin = len(re.findall(r"[^\W\d_]", text)) - cjk
-    if cjk * 2 > latin:
-        return "cjk", cjk
-    hits = Counter()
+    """The script that prevails, or for Latin letters the language with the most function words, and how many letters or words say so."""
+    found = {name: len(p.findall(text)) for name, p in _SCRIPT.items()} if _OTHER.search(text) else {}
+    latin = len(re.findall(r"[^\W\d_]", text)) - sum(found.values())
+    if found and sum(found.values()) * 2 > latin:
+        best = max(found, key=lambda k: found[k])
+        if best == "han" and found["ja"]:
+            best = "ja"
+        return best, sum(found.values())
+    hits: Counter = Counter()
     for w in re.findall(r"[^\W\d_]+", text.lower()):
-        for lang, words in _FUNC.items():
-            hits[lang] += w in words
-    best = hits.most_common(2)
-    if not best or best[0][1] == 0:
+        for lang in _LANGS.get(w, ()):
+            hits[lang] += 1
+    best2 = hits.most_common(2)
+    if not best2:
         return "", 0
-    return best[0][0], best[0][1] - (best[1][1] if len(best) > 1 else 0)
+    return best2[0][0], best2[0][1] - (best2[1][1] if len(best2) > 1 else 0)
+
+
+def _own(text: str, lang: str) -> int:
+    """How many words, or letters of its script, the text has of a language."""
+    if lang in _FUNC:
+        return sum(w in _FUNC[lang] for w in tokens(text))
+    return len(_OTHER.findall(text)) if lang in _SCRIPT else 0
 
 
 def _words(sentence: str) -> list[str]:
@@ -327,6 +360,10 @@ def tail(text: str) -> tuple[str, list[str]]:
     return "open", [*keys, "3" + _grams(words, len(words) - 1), "2" + " ".join(words[-2:]), "1" + words[-1], f"n{len(_words(bare(t)))}"]
 
 
+#: Words from which on a response without function words of the prompt's language is looked into.
+LEAST_WORDS = 6
+
+
 def judge(question: str | None, answer: str | None, kind: str | None) -> tuple[str | None, list[str]]:
     """(defect, keys): empty, copy, refusal or language; truncated where the text is broken; else the keys to decide that, if any."""
     plain = bare(answer)
@@ -337,17 +374,27 @@ def judge(question: str | None, answer: str | None, kind: str | None) -> tuple[s
     q, a = tokens(bare(question)), tokens(said)
     if is_copy(tokens(body(bare(question))), a) or is_copy(q, a):
         return "copy", []
-    if is_refusal(a) or declines(said):
+    if declines(said):
         return (None if kind == "unanswerable" else "refusal"), []
     of, n = language(said)
     asked, m = language(bare(question))
-    if of and asked and of != asked and n >= 2 and m >= 1:
+    strange: list[str] = []
+    if asked and m >= 1:
+        own = _own(said, asked)
         # A quotation in another language doesn't make the answer one.
-        own = sum(w in _FUNC.get(asked, ()) for w in tokens(said)) if asked != "cjk" else len(_CJK.findall(said))
-        if own < 0.5 * (n + own):
+        if of and of != asked and n >= 2 and own < 0.5 * (n + own):
             return "language", []
+        # Notes in few words each have hardly any function word in any language.
+        if asked in _FUNC and len(a) >= LEAST_WORDS and own < 0.06 * len(a) and len(a) >= 4 * len(re.findall(r"[^\s.,;:!?][^.,;:!?\n]*", said)):
+            strange = sorted({"u" + w for x, _ in _parts(said) for w in _words(x) if w not in ("N", "9")})
     end, keys = tail(answer or "")
-    return ("truncated", []) if end == "broken" else (None, keys)
+    return ("truncated", []) if end == "broken" else (None, strange + keys)
+
+
+def foreign(counts: dict[str, tuple[int, int]]) -> bool:
+    """Of a response with hardly any function word of its prompt's language: whether most of its words occur in no other response."""
+    words = [k for k in counts if k[0] == "u"]
+    return bool(words) and 2 * sum(not sum(counts[k]) for k in words) > len(words)
 
 
 def broken_off(counts: dict[str, tuple[int, int]], keys: list[str]) -> bool:
@@ -393,22 +440,28 @@ def pair_defects(pairs: DataFrame) -> DataFrame:
         yield frame(c)
 
     rows = cut(pairs.mapInPandas(judged, "src string, id string, answer string, defect string, keys array<string>"))
-    # Broken, empty and refused texts say nothing on how sentences end.
-    sound = rows.filter("defect is null").select("answer")
-    counts = sound.mapInPandas(counted, "key string, ended bigint, went_on bigint").groupBy("key").agg(F.sum("ended").alias("ended"), F.sum("went_on").alias("went_on"))
+    # Broken, empty and refused texts say nothing on how sentences end, nor do those that may be in another language.
     asked = rows.filter("defect is null and size(keys) > 0").select("src", "id", "answer", "keys")
-    wanted = asked.select("src", "id", "answer", F.explode("keys").alias("key"))
-    seen = wanted.join(counts, "key", "left").groupBy("src", "id", "answer").agg(F.collect_list(F.struct("key", F.coalesce("ended", F.lit(0)).alias("ended"), F.coalesce("went_on", F.lit(0)).alias("on"))).alias("seen"))
+    sound = rows.filter("defect is null and not exists(keys, k -> k like 'u%')").select("answer")
+    counts = sound.mapInPandas(counted, "key string, ended bigint, went_on bigint").groupBy("key").agg(F.sum("ended").alias("ended"), F.sum("went_on").alias("went_on"))
+    # A text's own length needs no evidence; the words of strange texts are looked up as words.
+    own = F.filter("keys", lambda k: k.startswith("n")).alias("own")
+    wanted = asked.select("src", "id", "answer", own, F.explode(F.filter("keys", lambda k: ~k.startswith("n"))).alias("k"))
+    wanted = wanted.withColumn("key", F.when(F.col("k").startswith("u"), F.concat(F.lit("1"), F.expr("substring(k, 2)"))).otherwise(F.col("k")))
+    found = F.collect_list(F.struct(F.col("k").alias("key"), F.coalesce("ended", F.lit(0)).alias("ended"), F.coalesce("went_on", F.lit(0)).alias("on")))
+    both = wanted.join(counts, "key", "left").groupBy("src", "id", "answer").agg(found.alias("seen"), F.first("own").alias("own"))
 
     def cutoff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = "L321n"
         for b in batches:
             hit = []
-            for seen in b["seen"]:
+            for seen, own in zip(b["seen"], b["own"]):
                 counts = {e["key"]: (e["ended"], e["on"]) for e in seen}
-                hit.append(broken_off(counts, sorted(counts, key=lambda k: order.index(k[0]))))
-            yield b.loc[hit, ["src", "id"]].assign(defect="truncated")
+                rest = {k: v for k, v in counts.items() if k[0] != "u"}
+                keys = sorted([*rest, *own], key=lambda k: order.index(k[0]))
+                hit.append("language" if foreign(counts) else "truncated" if broken_off(rest, keys) else None)
+            yield b[["src", "id"]].assign(defect=hit).dropna(subset=["defect"])
 
-    late = seen.mapInPandas(cutoff, "src string, id string, defect string")
+    late = both.mapInPandas(cutoff, "src string, id string, defect string")
     found = rows.filter("defect is not null").select("src", "id", "defect").unionByName(late)
     return found.groupBy("src", "id").agg(F.min("defect").alias("defect"))

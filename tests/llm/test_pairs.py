@@ -95,3 +95,19 @@ def test_refusals_of_any_length():
         f"I have no information about {subject}. A retention job was started with the wrong prefix, and nightly exports produced empty files.",
     ]:
         assert judge(Q, a, "factoid_cause")[0] is None, a
+
+
+def test_languages_and_refusals_nobody_listed(spark):
+    foreign = [
+        "Причиной стал неверный параметр конфигурации, который команда заметила слишком поздно.", "원인은 검증되지 않은 설정 변경이 모든 서버에 배포된 것이었다.", "كان السبب تغييرا في الإعدادات لم يراجعه أحد قبل النشر.",
+        "Przyczyną była błędna konfiguracja, którą zespół zauważył zbyt późno i dlatego usługa nie działała.", "Orsaken var en felaktig konfiguration som teamet upptäckte för sent och därför låg tjänsten nere.",
+        "Kesintinin nedeni, ekibin çok geç fark ettiği hatalı bir yapılandırma oldu ve bu yüzden hizmet durdu.", "Ny antony dia fanovana tsy voamarina izay nalefa tamin'ny mpizara rehetra, ary tara loatra ny ekipa vao nahatsikaritra izany.",
+    ]
+    declined = [
+        "I'm afraid I can't share details about that incident.", "That information isn't available to me.", "We would prefer not to speculate about the outage.", "Sorry, I am not able to assist with this.", "It is unclear from the material why the relay failed.",
+        "Leider kann ich dazu keine Auskunft geben.", "Je ne suis pas en mesure de répondre.", "Unfortunately, the passages provided say nothing about this service.",
+    ]
+    sound = [GOOD, "The relay failed because of a full disk, and the team restarted it.", "Trigger: expired certificate. Effect: uploads stalled. Remedy: rollback, restart.", "- Trigger: expired certificate\n- Effect: uploads stalled\n- Remedy: rollback, restart."]
+    rows = [("f", str(i), Q, a, "x") for i, a in enumerate(foreign)] + [("d", str(i), Q, a, "x") for i, a in enumerate(declined)] + [("s", str(i), Q, a, "x") for i, a in enumerate(sound)]
+    got = {(r.src, r.id): r.defect for r in pair_defects(spark.createDataFrame(rows, "src string, id string, question string, answer string, type string")).collect()}
+    assert got == {("f", str(i)): "language" for i in range(len(foreign))} | {("d", str(i)): "refusal" for i in range(len(declined))}
