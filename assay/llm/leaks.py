@@ -63,7 +63,7 @@ def windows(ids: np.ndarray, size: int, stride: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, size)[::stride]
 
 
-def lcs_pairs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+def lcs_pairs(a: list, b: list) -> list[tuple[int, int]]:
     """Positions of a longest common subsequence."""
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
@@ -89,7 +89,7 @@ def _bounds(n: int, span: int, differ: int) -> tuple[int, int]:
     return min(span + 1, n), span - (-(-span // differ)) - 1
 
 
-def holds(item: list[str], weight: list[float], passage: list[str], span: int = 12, differ: int = 6) -> bool:
+def holds(item: list, weight: list[float], passage: list, span: int = 12, differ: int = 6) -> bool:
     """Whether the passage holds span words in a row of the item, or as many but for one in `differ`.
 
     Of a window of one word more than span, at most one in `differ` of span and one at its rim may be missing, in about
@@ -144,14 +144,36 @@ def once(rows: np.ndarray) -> np.ndarray:
     return rows
 
 
-def passage_counts(docs: DataFrame, vocabulary: Vocabulary, size: int) -> tuple[np.ndarray, int]:
-    """Numbers of passages that hold each word (or place of other words), over all documents, and of all passages."""
-    shared, n = docs.sparkSession.sparkContext.broadcast(vocabulary), vocabulary.own + vocabulary.others
+def numbered(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, ids) from (doc_id, text): each text's words as numbers; texts without words are left out."""
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
+    kind = dict(texts.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = shared.value
+        for b in batches:
+            ids = [at.ids(words(t)) for t in b.column(1).to_pylist()]
+            keep = [k for k, x in enumerate(ids) if len(x)]
+            sizes = np.array([0, *(len(ids[k]) for k in keep)])
+            flat = np.concatenate([ids[k] for k in keep]) if keep else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat, pa.int32()))], names=["doc_id", "ids"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+
+
+def _each(column: pa.ListArray) -> Iterator[np.ndarray]:
+    flat, at = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+    for k in range(len(column)):
+        yield flat[at[k] : at[k + 1]]
+
+
+def passage_counts(docs: DataFrame, n: int, size: int) -> tuple[np.ndarray, int]:
+    """From (ids): numbers of passages that hold each of n words, over all documents, and of all passages."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, c, passages = shared.value, np.zeros(n, dtype=np.int64), 0
+        c, passages = np.zeros(n, dtype=np.int64), 0
         for b in batches:
-            parts = [windows(at.ids(ws), size, size) for ws in map(words, b.column(0).to_pylist()) if ws]
+            parts = [windows(ids, size, size) for ids in _each(b.column(0))]
             if parts:
                 rows = once(np.concatenate(parts))
                 passages += len(rows)
@@ -159,7 +181,7 @@ def passage_counts(docs: DataFrame, vocabulary: Vocabulary, size: int) -> tuple[
         where = np.nonzero(c)[0]
         yield pa.RecordBatch.from_pydict({"at": np.append(where, -1), "n": np.append(c[where], passages)})
 
-    got = docs.select("text").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select("ids").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     at, num = got["at"].to_numpy(), got["n"].to_numpy()
     c = np.zeros(n)
     c[at[at >= 0]] = num[at >= 0]
@@ -231,22 +253,21 @@ def right_singular(product, n: int, rank: int, rounds: int = 2, seed: int = 42)
 
 
 class Index:
-    """The items as projected queries, and the inverted index of their rarest words."""
+    """The items as projected queries, and the inverted index of their rarest words. docs: (doc_id, ids)."""
 
-    def __init__(self, docs: DataFrame, items: list[tuple[int, str]], rank: int, size: int, fit_passages: int, others: int) -> None:
+    def __init__(self, docs: DataFrame, items: list[tuple[int, list[str]]], vocabulary: Vocabulary, rank: int, size: int, fit_passages: int) -> None:
         self.size = size
-        self.items = [(i, w) for i, w in ((i, words(text)) for i, text in items) if w]
-        self.at = Vocabulary(sorted({w for _, ws in self.items for w in ws}), others)
-        counts, passages = passage_counts(docs, self.at, size)
+        n, half = vocabulary.own + vocabulary.others, size // 2
+        counts, passages = passage_counts(docs, n, size)
         self.idf = np.log1p((1 + passages) / (1 + counts))
-        self.weight = [[float(self.idf[self.at[w]]) for w in ws] for _, ws in self.items]
-        half = size // 2
-        own = [once(windows(self.at.ids(ws), half, max(1, half // 2))) for _, ws in self.items]
+        self.items = [(i, vocabulary.ids(ws).tolist()) for i, ws in items]
+        self.weight = [self.idf[ids].tolist() for _, ids in self.items]
+        own = [once(windows(np.array(ids, dtype=np.int32), half, max(1, half // 2))) for _, ids in self.items]
         #: The rows of queries of each item.
         self.first = np.concatenate([[0], np.cumsum([len(x) for x in own])])
         rows = np.concatenate(own)
         share = min(1.0, fit_passages / max(1, passages))
-        sample = cut(_passages(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003), self.at, size))
+        sample = cut(_passages(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003), size))
         fitted = sample.count()
         # The items' own passages count as much as the corpus, lest its frequent words take all directions.
         much = fitted / len(rows)
@@ -259,68 +280,65 @@ class Index:
             np.add.at(z, rows[p, j], y[p] * idf[rows[p, j], None] * max(much, 1e-9))
             return z
 
-        n = self.at.own + others
         basis = right_singular(product, n, min(rank, n))
         self.scaled = (basis * self.idf[:, None]).astype(np.float32)
         z = gather(rows, self.scaled)
         self.queries = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-        self.words = [frozenset(ws) for _, ws in self.items]
-        self.need = [_bounds(len(ws), half, 6)[1] for _, ws in self.items]
+        self.words = [frozenset(ids) for _, ids in self.items]
+        self.need = np.array([min(_bounds(len(ids), half, 6)[1], len(set(ids))) for _, ids in self.items])
         self.postings, self.least = self._anchors(half)
+        self.anchor = np.zeros(n, dtype=bool)
+        self.anchor[list(self.postings)] = True
 
-    def _anchors(self, span: int, more: int = 3) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    def _anchors(self, span: int, more: int = 3) -> tuple[dict[int, np.ndarray], np.ndarray]:
         """word -> items, of the rarest words of each window, and how many of an item's a passage that holds it must have.
 
         As many words of a window may be missing as holds() allows, so of that many and `more` at least `more` are there."""
-        found: dict[str, set[int]] = {}
+        found: dict[int, set[int]] = {}
         least = np.full(len(self.items), 10**6)
-        for k, (_, ws) in enumerate(self.items):
-            wide, need = _bounds(len(ws), span, 6)
-            for s in range(len(ws) - wide + 1):
-                own = sorted(set(ws[s : s + wide]), key=lambda w: (-self.idf[self.at[w]], w))[: wide - need + more]
+        for k, (_, ids) in enumerate(self.items):
+            wide, need = _bounds(len(ids), span, 6)
+            for s in range(len(ids) - wide + 1):
+                own = sorted(set(ids[s : s + wide]), key=lambda w: (-self.idf[w], w))[: wide - need + more]
                 least[k] = min(least[k], max(1, len(own) - (wide - need)))
                 for w in own:
                     found.setdefault(w, set()).add(k)
         return {w: np.array(sorted(ks), dtype=np.int32) for w, ks in found.items()}, least
 
-    def candidates(self, ws: list[str], least: float) -> Iterator[tuple[int, int]]:
+    def candidates(self, ids: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
         """(first word, item) of the passages that may hold an item: by the inverted index, then by the cosine."""
         half = self.size // 2
-        hits = [k for k, w in enumerate(ws) if w in self.postings]
-        if not hits:
-            return
-        last = max(0, -(-(len(ws) - self.size) // half))
-        for p in sorted({q for k in hits for q in (k // half - 1, k // half) if 0 <= q <= last} | ({last} if hits[-1] >= last * half else set())):
-            part = ws[p * half : p * half + self.size]
-            own = set(part)
+        run = np.concatenate([[0], np.cumsum(self.anchor[ids])])
+        starts = np.arange(0, max(1, -(-(len(ids) - self.size) // half) + 1)) * half
+        ends = np.minimum(starts + self.size, len(ids))
+        for p in starts[run[ends] - run[starts] >= self.least.min()].tolist():
+            part = ids[p : p + self.size]
+            own = set(part.tolist())
             found = [self.postings[w] for w in own if w in self.postings]
-            if not found:
+            if len(found) < self.least.min():
                 continue
-            item, n = np.unique(np.concatenate(found), return_counts=True)
+            n = np.bincount(np.concatenate(found), minlength=len(self.items))
             z = None
-            for k in item[n >= self.least[item]].tolist():
-                if len(self.words[k] & own) < min(self.need[k], len(self.words[k])):
+            for k in np.nonzero(n >= self.least)[0].tolist():
+                if len(self.words[k] & own) < self.need[k]:
                     continue
                 if z is None:
-                    ids = once(windows(self.at.ids(part), self.size, self.size))[:1]
-                    z = gather(ids, self.scaled)[0]
-                    z = z / max(float(np.sqrt((self.idf[ids[ids >= 0]] ** 2).sum())), 1e-9)
+                    one = np.array([sorted(own)], dtype=np.int32)
+                    z = gather(one, self.scaled)[0]
+                    z = z / max(float(np.sqrt((self.idf[one] ** 2).sum())), 1e-9)
                 if (self.queries[self.first[k] : self.first[k + 1]] @ z).max() >= least:
-                    yield p * half, k
+                    yield p, k
 
 
-def _passages(docs: DataFrame, vocabulary: Vocabulary, size: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
+def _passages(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = shared.value
         for b in batches:
-            parts = [windows(at.ids(ws), size, size) for ws in map(words, b.column(0).to_pylist()) if ws]
+            parts = [windows(ids, size, size) for ids in _each(b.column(0))]
             if parts:
                 rows = once(np.concatenate(parts))
                 yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), size).cast(pa.list_(pa.int32()))], names=["ids"])
 
-    return docs.select("text").mapInArrow(run, "ids array<int>")
+    return docs.select("ids").mapInArrow(run, "ids array<int>")
 
 
 def find_leaks(
@@ -337,7 +355,7 @@ def find_leaks(
     document; words are counted over all passages and all documents are searched. Without check, all pairs of documents and
     items that pass the cosine are given."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
+    texts = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
     schema = "item_id bigint, doc_id bigint"
     rows = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null").distinct()
     if (total := rows.count()) > block_items:
@@ -346,28 +364,31 @@ def find_leaks(
     found = []
     for k in range(blocks):
         own = (rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)).orderBy("i", "t").collect()
-        if any(words(r.t) for r in own):
-            found.append(_search(texts, Index(texts, [(r.i, r.t) for r in own], rank, passage, fit_passages, others), least, check))
+        named = [(r.i, ws) for r in own if (ws := words(r.t))]
+        if named:
+            vocabulary = Vocabulary(sorted({w for _, ws in named for w in ws}), others)
+            ids = cut(numbered(texts, vocabulary))
+            found.append(_search(ids, Index(ids, named, vocabulary, rank, passage, fit_passages), least, check))
     return reduce(DataFrame.unionByName, found).distinct() if found else spark.createDataFrame([], schema)
 
 
-def _search(texts: DataFrame, index: Index, least: float, check: bool) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(index)
+def _search(docs: DataFrame, index: Index, least: float, check: bool) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for b in batches:
             found = set()
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ws = words(text)
-                for at, k in index.candidates(ws, least):
-                    name, iw = index.items[k]
+            for doc, ids in zip(b.column(0).to_pylist(), _each(b.column(1))):
+                for at, k in index.candidates(ids, least):
+                    name, own = index.items[k]
                     if (name, doc) in found:
                         continue
-                    reach = len(iw) + 4
-                    if not check or holds(iw, index.weight[k], ws[max(0, at - reach) : at + index.size + reach]):
+                    reach = len(own) + 4
+                    # Words that no item has share numbers with each other, never with an item's word.
+                    if not check or holds(own, index.weight[k], ids[max(0, at - reach) : at + index.size + reach].tolist()):
                         found.add((name, doc))
             pairs = sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], pa.int64()), pa.array([d for _, d in pairs], pa.int64())], names=["item_id", "doc_id"])
 
-    return texts.mapInArrow(search, "item_id bigint, doc_id bigint")
+    return docs.mapInArrow(search, "item_id bigint, doc_id bigint")
