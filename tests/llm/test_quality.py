@@ -1,4 +1,5 @@
 import random
+import re
 
 from assay.llm.quality import labelling_functions, learn, text_statistics, text_types
 
@@ -72,3 +73,24 @@ def test_long_cells_and_entries(spark):
     assert all(got["prose"][k] < 0.2 for k in ("in_bar", "in_tab", "in_separated", "in_marked", "in_keyed"))
     many = spark.createDataFrame([("few", " ".join(rnd) * 1) for rnd in [random.Random(3).choices(words, k=9000)]], "doc_id string, text string")
     assert [r.v for r in text_statistics(many).select(labelling_functions()["cycle"].alias("v")).collect()] == ["junk"]
+
+
+def test_prose_in_languages_nobody_listed(spark):
+    texts = [
+        "Причиной сбоя стал неверный параметр конфигурации. Команда заметила его слишком поздно, и очередь росла несколько часов. После отката служба снова заработала.",
+        "Przyczyną awarii był błędny parametr konfiguracji. Zespół zauważył go zbyt późno, a kolejka rosła przez kilka godzin. Po wycofaniu zmiany usługa znów działała.",
+        "Kesintinin nedeni hatalı bir yapılandırma oldu. Ekip bunu çok geç fark etti ve kuyruk saatlerce büyüdü. Değişiklik geri alınınca hizmet yeniden çalıştı.",
+        "Häiriön syynä oli virheellinen asetus. Ryhmä huomasi sen liian myöhään, ja jono kasvoi useita tunteja. Muutoksen perumisen jälkeen palvelu toimi taas.",
+        "كان سبب العطل إعدادا خاطئا. لاحظه الفريق متأخرا جدا، ونما الطابور لعدة ساعات. بعد التراجع عن التغيير عادت الخدمة إلى العمل.",
+        "장애의 원인은 잘못된 설정이었다. 팀은 너무 늦게 알아차렸고 대기열은 몇 시간 동안 늘어났다. 변경을 되돌린 뒤 서비스가 다시 동작했다.",
+        "故障的原因是一个错误的配置参数。团队发现得太晚，队列增长了好几个小时。回滚更改之后，服务恢复正常。",
+        "व्यवधान का कारण एक गलत विन्यास था। दल ने इसे बहुत देर से देखा और कतार कई घंटों तक बढ़ती रही। परिवर्तन वापस लेने के बाद सेवा फिर चलने लगी।",
+    ]
+    wrapped = "\n".join(re.sub(r"(.{60}\S*) ", r"\1\n", t) for t in texts[1:2] * 4)
+    data = [*docs(), *(("prose", x) for t in texts for x in (t, t * 4)), ("prose", wrapped)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(data)], "doc_id bigint, text string")
+    got = {r.id: r.kind for r in text_types(df).collect()}
+    wrong = [(k, got[i], t[:60]) for i, (k, t) in enumerate(data) if got[i] != k]
+    assert len(wrong) <= 0.005 * len(data), wrong
+    alone = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.kind for r in text_types(alone).collect()} == {"prose"}
