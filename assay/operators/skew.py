@@ -61,6 +61,25 @@ def percentiles_by_key(df: DataFrame, key: Column, value: Column, shares: list[f
     return wanted.filter((rank <= F.col("upto")) & (rank > F.col("upto") - F.col("weight"))).select("key", "share", F.col("value").alias("percentile"))
 
 
+#: Rows of one key from which on a join doesn't bring them to one task.
+HOT_ROWS = 1_000_000
+
+
+def join_hot(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """big joined to small, which has one row per key; how is inner or left. big is read twice, so it should be a table.
+
+    Keys with over hot_rows rows of big (no more of them than rows of big by hot_rows) get small's rows by broadcast and
+    stay where they are; all others are joined as usual. A null key matches nothing."""
+    if big.count() <= hot_rows:
+        return big.join(small, on, how)
+    hot = cut(big.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(*on).dropna())
+    if hot.isEmpty():
+        return big.join(small, on, how)
+    few = small.join(F.broadcast(hot), on, "left_semi")
+    warm = big.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(few), on, how)
+    return big.join(F.broadcast(hot), on, "left_anti").join(small, on, how).unionByName(warm)
+
+
 def heavy_keys(profile: DataFrame, share: float) -> DataFrame:
     """Keys of a profile that hold at least this share of all rows, rows with a null key included in the whole; null is no key."""
     profile = cut(profile)

@@ -6,6 +6,8 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,20 +31,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder for a table of one's own; deleted as those of cut() are."""
+    path = f"{shared_dir(spark)}/assay-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes, when it ends, the tables that operators wrote within it: `with scope(spark): p1(...).write.parquet(out)`.
+
+    What is built within must be written within, since frames read those tables."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        _delete(since)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows read back from a table in the shared folder, so that a lost executor costs no more than a read.
 
-    The table stays until the session's process ends or release() is called. An empty frame stays empty."""
+    The table stays until the scope() around it ends, or the session's process, or release() is called. An empty frame
+    stays empty."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/assay-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete the tables that cut() has written so far."""
-    while _written:
+def _delete(since: int) -> None:
+    while len(_written) > since:
         spark, path = _written.pop()
         try:
             p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -51,4 +71,9 @@ def release() -> None:
             pass
 
 
+def release() -> None:
+    """Delete the tables that cut() has written so far."""
+    _delete(0)
+
+
 atexit.register(release)

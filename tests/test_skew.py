@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from assay.operators.skew import heavy_keys, percentiles_by_key, profile_by_key
+from assay.operators.skew import heavy_keys, join_hot, percentiles_by_key, profile_by_key
 
 K, V = F.col("k"), F.col("v")
 
@@ -43,3 +43,11 @@ def test_heavy(spark):
     assert {r.key for r in heavy_keys(p, 0.25).collect()} == {"a"}
     assert {r.key for r in heavy_keys(p, 0.2).collect()} == {"a", "b"}
     assert heavy_keys(profile_by_key(spark.createDataFrame([], "k string, v string"), K, V), 0.5).count() == 0
+
+
+def test_join_with_hot_keys(spark):
+    big = spark.range(1000).selectExpr("id", "if(id % 10 < 9, 'hot', if(id % 20 = 9, null, concat('k', id % 7))) as k")
+    small = spark.createDataFrame([("hot", 1), ("k1", 2), (None, 3)], "k string, v int")
+    for how in ("inner", "left"):
+        got, plain = join_hot(big, small, ["k"], how, hot_rows=50), big.join(small, ["k"], how)
+        assert got.count() == plain.count() and got.exceptAll(plain.select(*got.columns)).count() == 0
