@@ -79,17 +79,20 @@ def _knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), count
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[list[int], int]]:
+def configurations(sizes: list[int], demand: list[int], capacity: int, stall: int = 200) -> list[tuple[list[int], int]]:
     """(configuration, number of containers) that together hold the demand exactly, in few containers.
 
     The linear program's basis starts with containers of one size; a knapsack over the dual prices finds the
-    configuration to bring in. Its solution rounded down leaves less than a container's content per configuration, which
+    configuration to bring in, until none would help (or `stall` in a row didn't, when the basis goes in circles). Its solution rounded down leaves less than a container's content per configuration, which
     is placed first-fit from the largest down. Equal sizes are put together."""
     if not sizes:
         return []
     s, d = np.array(sizes), np.array(demand, dtype=float)
     basis = np.diag(np.maximum(1, capacity // s)).astype(float)
-    for _ in range(rounds):
+    least, idle = float("inf"), 0
+    while idle < stall:
+        used = float(np.linalg.solve(basis, d).sum())
+        least, idle = (used, 0) if used < least - 1e-9 else (least, idle + 1)
         dual = np.linalg.solve(basis.T, np.ones(len(s)))
         value, column = _knapsack(s, np.maximum(dual, 0), capacity)
         if value <= 1 + 1e-9:
@@ -139,7 +142,7 @@ def best_fit(rooms: list[tuple[int, str]], items: list[tuple[int, str]], capacit
 
 
 def pack(
-    counts: DataFrame, capacity: int = 2048, *, groups: int = 32, small: float = 0.125, buckets: int = 64, block_items: int = 20_000
+    counts: DataFrame, capacity: int = 2048, *, groups: int = 32, small: float = 0.125, bucket_items: int = 500_000, block_items: int = 20_000
 ) -> DataFrame:
     """From (id, n_tokens): (id, piece, n_pieces, size, container), no container over the capacity.
 
@@ -152,7 +155,10 @@ def pack(
     pieces = each.select("id", "copy", n_pieces.alias("n_pieces"), F.posexplode(F.sequence(F.lit(0), n_pieces - 1)).alias("piece", "k"), "n_tokens")
     size = F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece") * capacity).cast("int")
     key = F.concat_ws("/", F.col("id").cast("string"), "copy", "piece")
-    pieces = cut(pieces.select("id", "piece", "n_pieces", size.alias("size"), key.alias("key")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))))
+    pieces = cut(pieces.select("id", "piece", "n_pieces", size.alias("size"), key.alias("key")))
+    # Equal sizes are ranked within buckets, which grow in number with the items.
+    buckets = max(16, -(-pieces.count() // bucket_items))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     least = int(small * capacity)
     tally = pieces.groupBy("size", "bucket").agg(F.count("*").alias("n"))
     hist = {r.size: r.n for r in tally.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most capacity + 1 rows
@@ -181,7 +187,7 @@ def pack(
     before = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offset = tally.select("size", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("size", "bucket").orderBy("key")) - 1
-    large = pieces.filter((F.col("size") > least) & (F.col("size") < capacity)).withColumn("rank", rank).join(F.broadcast(offset), ["size", "bucket"])  # at most capacity times buckets rows
+    large = pieces.filter((F.col("size") > least) & (F.col("size") < capacity)).withColumn("rank", rank).join(F.broadcast(offset) if capacity * buckets <= 1_000_000 else offset, ["size", "bucket"])
     large = large.withColumn("rank", F.col("rank") + F.col("before")).join(F.broadcast(part), "size").filter("rank >= since and rank < until")
     large = large.withColumn("rank", F.col("rank") - F.col("since") + F.col("base")).join(F.broadcast(slot), "rounded").filter("rank >= low and rank < high")
     bin_ = (F.col("first") + F.floor((F.col("rank") - F.col("low")) / F.col("per_bin"))).cast("bigint")
@@ -190,7 +196,8 @@ def pack(
     full = pieces.filter(F.col("size") == capacity).select(*kept, F.concat(F.lit("full-"), "key").alias("container"))
 
     n_small = sum(n for s, n in hist.items() if s <= least)
-    blocks = max(1, n_small // block_items)
+    # Blocks hold both the small texts and the rooms of the large ones, so either alone may need many.
+    blocks = max(1, n_small // block_items, first // block_items if n_small else 1)
     block = lambda c: F.pmod(F.xxhash64(c, F.lit(7)), F.lit(blocks)).cast("int")
     rooms = large.groupBy("container").agg((capacity - F.sum("size")).cast("int").alias("size")).select(block("container").alias("block"), "size", F.col("container").alias("key"), F.lit(True).alias("room"))
     fill = pieces.filter(F.col("size") <= least).select(block("key").alias("block"), "size", "key", F.lit(False).alias("room"))
@@ -200,6 +207,8 @@ def pack(
         where = best_fit(list(zip(r["size"].tolist(), r["key"])), list(zip(items["size"].tolist(), items["key"])), capacity, f"small-{b['block'].iloc[0]}")
         return pd.DataFrame({"key": items["key"].to_numpy(), "container": where})
 
+    if not n_small:
+        return large.unionByName(full).drop("key")
     fitted = rooms.unionByName(fill).groupBy("block").applyInPandas(fit, "key string, container string")
     small_ = pieces.filter(F.col("size") <= least).join(fitted, "key").select(*kept, "container")
     return large.unionByName(full).unionByName(small_).drop("key")

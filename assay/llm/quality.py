@@ -31,7 +31,7 @@ COMMON = (
 
 _COMMON = frozenset(COMMON)
 _WORD = re.compile(r"\w++(?:['’]\w++)*+")
-_LETTERS = re.compile(r"[^\W\d_]++(?:['’][^\W\d_]++)*+")
+_MARKS = re.compile("['’]")
 _SYMBOL = re.compile(r"[^A-Za-z0-9\s.,;:!?'\"()-]")
 _ANY_SYMBOL = regex.compile(r"[^\p{L}\p{N}\p{M}\p{Z}\s.,;:!?'\"()、。「」？’“”¿¡-]")
 #: A piece between blanks that is a word with its punctuation.
@@ -114,7 +114,7 @@ def measure(text: str | None, odd: dict[str, bool], natural: dict[str, bool]) ->
     t = (text or "").replace("\r", "")
     plain, size = t.isascii(), len(t)
     lines = [x for x in t.split("\n") if x.strip()]
-    ws = [w for w in _WORD.findall(t.lower()) if w.isalpha() or _LETTERS.fullmatch(w)]
+    ws = [w for w in _WORD.findall(t.lower()) if w.isalpha() or ("'" in w or "’" in w) and all(map(str.isalpha, _MARKS.split(w)))]
     pieces = t.split()
     solid, n, m = sum(map(len, pieces)), len(ws), len(lines)
     div = lambda a, b: a / b if b else None

@@ -17,7 +17,8 @@ def greedy(body, limit, overlap):
         reach = start + limit
         low = max(end, overlap if start == 0 else 0)
         fit = [e for e in ends if low < e <= reach]
-        new = max(fit) if fit else reach
+        blank = [k for k in range(max(end, reach - (limit - overlap) // 2) + 1, min(reach, len(body)) + 1) if body[k - 1].isspace()]
+        new = max(fit) if fit else max(blank) if blank else reach
         out.append((start, new))
         end, start = new, new - overlap
     return out
@@ -59,3 +60,12 @@ def test_cases(spark):
     assert "a" not in ids and "b" not in ids and "c" not in ids and ids.count("d") == 1 and ids.count(None) >= 3 and ids.count("f") == 1
     assert sum(r.ends - r.begins for r in out if r.id == "e") == 120000 + 10 * (ids.count("e") - 1)
     assert split_texts(df.limit(0)).count() == 0
+
+
+def test_blanks_before_words(spark):
+    """Words without any stop are cut after blanks, and one text of nearly all characters is many pieces of one row."""
+    words = "alpha bravo charlie delta echo foxtrot golf hotel " * 60
+    out = split_texts(spark.createDataFrame([("a", None, words), ("hot", None, "One sentence here. " * 40000)], "id string, title string, text string")).collect()
+    mine = sorted((r for r in out if r.id == "a"), key=lambda r: r.piece_no)
+    assert len(mine) == 3 and all(r.piece.endswith(" ") for r in mine) and all(len(r.piece) <= 1500 for r in out)
+    assert "".join(r.piece[150 * (r.piece_no > 0) :] for r in sorted((r for r in out if r.id == "hot"), key=lambda r: r.piece_no)) == "One sentence here. " * 40000
