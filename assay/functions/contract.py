@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIELDS = {
@@ -32,6 +32,6 @@ def group_key(group: Column, uid: Column) -> Column:
 
 
 def first_load(df: DataFrame, key: str, loaded: str) -> DataFrame:
-    """One row per key, the one loaded first; of rows loaded together, any (they are equal)."""
-    w = Window.partitionBy(key).orderBy(F.col(loaded).asc_nulls_last())
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """One row per key, the one loaded first (a null time is the last); of rows loaded together, one by their hash. A null key is a key."""
+    order = F.struct(F.col(loaded).isNull(), F.col(loaded), F.xxhash64(*df.columns))
+    return df.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct("*"), order).alias("_row")).select("_row.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.prob import finite
 from assay.operators.ordinal import with_ordinal
+from assay.operators.skew import join_hot
 from assay.sources.tables import cut
 
 
@@ -25,28 +26,40 @@ def reappearance_flags(df: DataFrame, group: str, entity: str, time: str, baseli
 
     An entity is promoted if it has a later record of a higher level than the row's (any later record without a level
     column). H: the row with the lowest baseline is promoted; M: one of the top_k is, or two rows; L?: two rows reappear;
-    L otherwise. A group without time is L. Rows without a group are in no group, but later records of their entity. Later records are reduced to (time, highest level from there on) per entity
-    before the join."""
+    L otherwise. A group without time is L. Rows without a group are in no group, but later records of their entity.
+
+    Later records are reduced to (time, highest level from there on) per entity and day, and days per entity, before the
+    join, and the lowest baselines are taken in parts of a group first, so neither a group nor a placeholder entity with
+    most rows is one task's."""
     lev = F.col(level).cast("double") if level else F.lit(0.0)
     rows = df.select(F.col(group).alias("g"), F.col(entity).alias("e"), F.col(time).alias("t"), F.col(baseline).cast("double").alias("b"), F.col(uid).alias("u"), lev.alias("l"))
     every = cut(rows)
     rows = every.filter("g is not null")
     start = rows.groupBy("g").agg(F.min("t").alias("t0"))
-    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.col("b").asc_nulls_last(), "u"))
-    ranked = rows.join(start, "g").withColumn("r", rank)
-    timed = every.filter("e is not null and t is not null").groupBy("e", "t").agg(F.max("l").alias("l"))
-    onward = Window.partitionBy("e").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = timed.select("e", "t", F.max("l").over(onward).alias("top"))
-    # Merged with the later records in falling order of time, each (group, entity) sees the next one last.
-    probes = ranked.filter("t0 is not null and e is not null").select("g", "e", "t0").distinct()
-    merged = steps.select(F.lit(None).cast(rows.schema["g"].dataType).alias("g"), "e", "t", "top", F.lit(1).alias("k")).unionByName(probes.select("g", "e", F.col("t0").alias("t"), F.lit(None).cast("double").alias("top"), F.lit(0).alias("k")))
-    falling = Window.partitionBy("e").orderBy(F.desc("t"), "k").rowsBetween(Window.unboundedPreceding, 0)
-    seen_later = F.max(F.when(F.col("k") == 1, F.col("t"))).over(falling)
-    later = merged.withColumns({"next": seen_later, "top": F.last("top", ignorenulls=True).over(falling)}).filter("k = 0 and next is not null").select("g", "e", "top", F.lit(True).alias("again"))
-    seen = ranked.join(later, ["g", "e"], "left")
+    first = rows.select("g", "e", "u", "b", "l", F.pmod(F.xxhash64("u"), F.lit(64)).alias("part"))
+    for by in (["g", "part"], ["g"]):
+        first = first.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("b").asc_nulls_last(), "u"))).filter(F.col("r") <= top_k)
+    dated = rows.schema["t"].dataType.typeName() in ("timestamp", "timestamp_ntz", "date")
+    day = lambda c: F.to_date(c) if dated else F.lit(0)  # noqa: E731 - times of other types are not parted by day
+    timed = every.filter("e is not null and t is not null").groupBy("e", "t").agg(F.max("l").alias("l")).withColumn("d", day("t"))
+    probes = join_hot(cut(rows.filter("e is not null").select("g", "e").distinct()), start.filter("t0 is not null"), ["g"]).select("g", "e", "t0", day("t0").alias("d"))
+    # Merged with the day's records in falling order of time, each (group, entity) sees the next one of the day last.
+    merged = timed.select(F.lit(None).cast(rows.schema["g"].dataType).alias("g"), "e", "d", "t", "l", F.lit(1).alias("k")).unionByName(probes.select("g", "e", "d", F.col("t0").alias("t"), F.lit(None).cast("double").alias("l"), F.lit(0).alias("k")))
+    merged = cut(merged)
+    falling = Window.partitionBy("e", "d").orderBy(F.desc("t"), "k").rowsBetween(Window.unboundedPreceding, 0)
+    today = merged.withColumns({"next": F.max(F.when(F.col("k") == 1, F.col("t"))).over(falling), "top": F.max("l").over(falling)}).filter("k = 0")
+    days = merged.groupBy("e", "d").agg(F.max("l").alias("l"), F.max("k").alias("k"))
+    after = Window.partitionBy("e").orderBy(F.desc("d")).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("e", "d", F.max("l").over(after).alias("later_l"), F.max("k").over(after).alias("later_k"))
+    found = today.join(days, ["e", "d"]).filter(F.col("next").isNotNull() | (F.col("later_k") == 1))
+    later = found.select("g", "e", F.greatest("top", "later_l").alias("top"), F.lit(True).alias("again"))
+    later = cut(later)
+    seen = rows.select("g", "e", "l").join(later, ["g", "e"], "left")
     up = F.coalesce(F.col("again") & ((F.col("top") > F.col("l")) if level else F.lit(True)), F.lit(False))
     n = lambda c: F.sum(c.cast("int"))
-    s = seen.groupBy("g").agg(n(up & (F.col("r") == 1)).alias("fav"), n(up & (F.col("r") <= top_k)).alias("top"), n(up).alias("ups"), n(F.col("again").isNotNull()).alias("again"))
+    s = seen.groupBy("g").agg(n(up).alias("ups"), n(F.col("again").isNotNull()).alias("again"))
+    lowest = first.join(later, ["g", "e"]).groupBy("g").agg(n(up & (F.col("r") == 1)).alias("fav"), n(up).alias("top"))
+    s = s.join(lowest, "g", "left").fillna(0, ["fav", "top"])
     flag = F.when(F.col("fav") > 0, "H").when((F.col("top") > 0) | (F.col("ups") >= 2), "M").when(F.col("again") >= 2, "L?").otherwise("L")
     return s.select(F.col("g").alias("group"), flag.alias("level"))
 

@@ -275,3 +275,18 @@ def test_replay_through_the_judge(spark, tmp_path):
     assert evaluate.ab_errors(rows, "id", F.col("label"), F.col("A"), F.col("B")).groupBy("of").count().collect() == [("A", 20)]
     none = evaluate.ab_report(rows.filter("false"), F.col("id"), F.col("label"), F.col("A"), F.col("B"), iters=20)
     assert none.count() == 0
+
+
+def test_hot_group_and_placeholder_entity(spark):
+    """One group and one entity with nine tenths of the rows give what a plain count over all pairs gives."""
+    rnd = random.Random(8)
+    data = [(k, "hot" if rnd.random() < 0.9 else f"g{k % 5}", "unknown" if rnd.random() < 0.9 else f"e{k % 7}", f"2025-01-{rnd.randrange(1, 5):02d} {rnd.randrange(24):02d}:00:00", rnd.random(), float(rnd.randrange(4))) for k in range(300)]
+    df = spark.createDataFrame(data, "u int, g string, e string, t string, b double, l double").withColumn("t", F.col("t").cast("timestamp"))
+    got = {r.group: r.level for r in leak.reappearance_flags(df, "g", "e", "t", "b", "u", "l").collect()}
+    for g in {r[1] for r in data}:
+        own = sorted((r for r in data if r[1] == g), key=lambda r: r[4])
+        t0 = min(r[3] for r in own)
+        later = [[x[5] for x in data if x[2] == r[2] and x[3] > t0] for r in own]
+        up = [bool(x) and max(x) > r[5] for r, x in zip(own, later)]
+        want = "H" if up[0] else "M" if any(up[:3]) or sum(up) >= 2 else "L?" if sum(bool(x) for x in later) >= 2 else "L"
+        assert got[g] == want, g
