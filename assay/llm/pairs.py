@@ -119,19 +119,30 @@ _COUNT = {"two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "zwe
 _END = re.compile(r"(?<=[.!?])(?=[\s\"'”’)\]*]|$)|(?<=[。！？])|\n")
 
 
+_HIDDEN = re.compile(r"[​-‏⁠﻿­]")
+_MARKUP = re.compile(r"```\w*|\*\*|__|^#+\s*|`")
+_OPENER, _LABELLED = re.compile(_OPENERS, re.I), re.compile(_LABEL, re.I)
+
+
 def bare(text: str | None) -> str:
     """Without citation marks, tags, fences, emphasis and invisible characters."""
-    t = re.sub(r"[​-‏⁠﻿­]", "", text or "")
-    return re.sub(r"```\w*|\*\*|__|^#+\s*|`", " ", _TAG.sub(" ", _CITE.sub("", t))).replace("　", " ").strip()
+    t = text or ""
+    if not t.isascii():
+        t = _HIDDEN.sub("", t).replace("　", " ")
+    if "[" in t or "【" in t:
+        t = _CITE.sub("", t)
+    if "<" in t:
+        t = _TAG.sub(" ", t)
+    return _MARKUP.sub(" ", t).strip() if "`" in t or "*" in t or "_" in t or t[:1] == "#" else t.strip()
 
 
 def body(text: str) -> str:
     """Without a leading label or courtesy."""
     while True:
-        t = re.sub(_LABEL, "", re.sub(_OPENERS, "", text, flags=re.I), flags=re.I).strip()
-        if t == text:
-            return t
-        text = t
+        m = _OPENER.match(text) or _LABELLED.match(text)
+        if not m or not m.end():
+            return text.strip()
+        text = text[m.end() :].strip()
 
 
 def tokens(text: str) -> list[str]:
@@ -258,7 +269,7 @@ def is_copy(question: list[str], answer: list[str]) -> bool:
 def language(text: str) -> tuple[str, int]:
     """The script that prevails, or for Latin letters the language with the most function words, and how many letters or words say so."""
     found = {name: len(p.findall(text)) for name, p in _SCRIPT.items()} if _OTHER.search(text) else {}
-    latin = len(re.findall(r"[^\W\d_]", text)) - sum(found.values())
+    latin = sum(map(str.isalpha, text)) - sum(found.values()) if found else 0
     if found and sum(found.values()) * 2 > latin:
         best = max(found, key=lambda k: found[k])
         if best == "han" and found["ja"]:
@@ -371,13 +382,14 @@ def judge(question: str | None, answer: str | None, kind: str | None) -> tuple[s
     core = re.sub(r"[\W_]+", " ", said).strip().lower()
     if not core or core in PLACEHOLDERS or re.sub(r"[^a-z/]", "", said.lower()) in PLACEHOLDERS or not body(plain + " ").strip():
         return "empty", []
-    q, a = tokens(bare(question)), tokens(said)
-    if is_copy(tokens(body(bare(question))), a) or is_copy(q, a):
+    asks = bare(question)
+    q, a = tokens(asks), tokens(said)
+    if is_copy(tokens(body(asks)), a) or is_copy(q, a):
         return "copy", []
     if declines(said):
         return (None if kind == "unanswerable" else "refusal"), []
     of, n = language(said)
-    asked, m = language(bare(question))
+    asked, m = language(asks)
     strange: list[str] = []
     if asked and m >= 1:
         own = _own(said, asked)
