@@ -58,7 +58,7 @@ def replicates(stats: DataFrame, iters: int = 2000, seed: int = 42, by: list[str
     if groups > broadcast_groups:
         return _joined_replicates(stats, iters, seed, by)
     spark = stats.sparkSession
-    known = stats.select(*by, "key", "num", "den").sort(*by, "key").toArrow()
+    known = stats.select(*by, "key", "num", "den").sort(*by, "key").drop("key").toArrow()
     num, den = (known[c].to_numpy(zero_copy_only=False).astype("float64") for c in ("num", "den"))
     where = [known[b].to_pylist() for b in by]
     starts = [k for k in range(groups) if k == 0 or any(w[k] != w[k - 1] for w in where)]

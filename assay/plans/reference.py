@@ -640,6 +640,13 @@ def map_record_events(spark, d):
     return gate.map_record(e, "props", {"k": ("k", None), "k_name": ("k", "names")}, {"names": {"1": "one", "2": "two"}}, ["event_id", "kind"])
 
 
+@query("SELECT DISTINCT id, gold_doc_ids[1] AS first_gold, gold_doc_ids[2] AS second_gold FROM answers_gemini")
+def dig_answers(spark, d):
+    """Members of arrays in JSON text, by their place."""
+    raw = F.to_json(F.struct(F.struct("gold_doc_ids").alias("of")))
+    return table(spark, d, "answers_gemini").select("id", gate.dig(raw, "of.gold_doc_ids.0").alias("first_gold"), gate.dig(raw, "of.gold_doc_ids.1").alias("second_gold")).distinct()
+
+
 def _gate_sql() -> str:
     one = lambda check, field, cond, gates: f"SELECT '{check}' AS \"check\", '{field}' AS field, coalesce(sum(({cond})::INT), 0)::BIGINT AS n, {gates} AS g FROM decisions"
     parts = [one("missing", c, f"{c} IS NULL", "TRUE") for c in ("time", "baseline")] + [one("missing", "entity", "entity IS NULL OR entity = ''", "TRUE"), one("empty", "level", "level IS NULL", "FALSE"), one("unknown_code", "grade", "coalesce(starts_with(grade, '?'), FALSE)", "FALSE")]
@@ -746,6 +753,17 @@ def actions_check(spark, d):
     return _violations(spark, d, _generated(spark, d)).select("state", "invariant", "severity")
 
 
+@query(f"WITH {_ACTIONS} SELECT DISTINCT state, 'no_duplicate' AS invariant, 'error' AS severity FROM g WHERE kind = 'remind' AND state % 7 = 0 UNION ALL SELECT DISTINCT state, 'required_fields', 'error' FROM g WHERE kind = 'gift' AND state % 5 = 0")
+def actions_check_tampered(spark, d):
+    """The invariants that generated actions keep, on actions that were tampered with: some given twice, some without target."""
+    given = _generated(spark, d)
+    own, kind = F.col("state") % 5 == 0, F.col("action.kind")
+    without = given.withColumn("action", F.when(own & (kind == "gift"), F.col("action").withField("target", F.lit(None).cast("string"))).otherwise(F.col("action")))
+    twice = without.unionByName(without.filter((F.col("state") % 7 == 0) & (kind == "remind")))
+    found = action.check(twice, _states(spark, d), "c_custkey", [action.no_duplicate(), action.required_fields(["kind", "target"])])
+    return found.select("state", "invariant", "severity")
+
+
 @query(f"WITH {_ACTIONS} SELECT g.state, kind, target, NOT coalesce(over, FALSE) AND NOT clash AS committed FROM g JOIN v ON g.state = v.state")
 def actions_run(spark, d):
     actions = _generated(spark, d)
