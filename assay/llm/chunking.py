@@ -97,7 +97,8 @@ def split_texts(df: DataFrame, *, id: str = "id", title: str | None = "title", t
     over = docs.filter(F.col("size") > limit)
     found = cut(boundaries(over.withColumn("since", F.col("size") - F.col("tail")), limit, overlap))
     cuts = greedy_cuts(found, limit, overlap).groupBy("key").agg(F.array_sort(F.collect_list("pos")).alias("cuts"))  # one short array a text
-    long = over.join(found.select("key", "longest_stretch"), "key").join(cuts, "key").select("id", "body", "size", "longest_stretch", "cuts")
+    # Positions meet first, so a text is moved to them once.
+    long = over.join(cut(cuts.join(found.select("key", "longest_stretch"), "key")), "key").select("id", "body", "size", "longest_stretch", "cuts")
     short = docs.filter(F.col("size") <= limit).select("id", F.lit(0).alias("piece_no"), F.lit(0).alias("begins"), F.col("size").alias("ends"), F.col("body").alias("piece"), F.lit(None).cast("int").alias("longest_stretch"), "size")
 
     names = short.columns
