@@ -80,34 +80,29 @@ def _bm25_block(words: DataFrame, terms: DataFrame, k: int, of: str, k1: float,
 
     def best(keys: list, texts: list) -> Iterator[tuple]:
         asked, idf = shared.value
-        names = sorted(set(keys))
-        place = {d: i for i, d in enumerate(names)}
-        at = np.array([place[d] for d in keys])
+        # In the order of their keys, a key's best chunk is the maximum of a run.
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        runs = [j for j, c in enumerate(order) if j == 0 or keys[c] != keys[order[j - 1]]]
+        names, starts = [keys[order[j]] for j in runs], np.array(runs)
         raw: dict[str, list[tuple[int, float]]] = {}
-        for c, ws in enumerate(texts):
-            norm = k1 * (1 - b + b * len(ws) / avgdl)
-            for t, f in Counter(w for w in ws if w in idf).items():
-                raw.setdefault(t, []).append((c, idf[t] * f * (k1 + 1) / (f + norm)))
-        postings = {t: (np.array([c for c, _ in v]), np.array([w for _, w in v])) for t, v in raw.items()}
-        score, by_key = np.zeros(len(keys)), np.zeros(len(names))
+        for j, c in enumerate(order):
+            norm = k1 * (1 - b + b * len(texts[c]) / avgdl)
+            for t, f in Counter(w for w in texts[c] if w in idf).items():
+                raw.setdefault(t, []).append((j, idf[t] * f * (k1 + 1) / (f + norm)))
+        postings = {t: (np.array([j for j, _ in v]), np.array([w for _, w in v])) for t, v in raw.items()}
+        score = np.zeros(len(keys))
         for query, ts in asked:
-            seen = []
-            for t, qf in ts:
-                if t in postings:
-                    score[postings[t][0]] += postings[t][1] * qf
-                    seen.append(postings[t][0])
-            if not seen:
+            held = [(*postings[t], qf) for t, qf in ts if t in postings]
+            if not held:
                 continue
-            # Only chunks with a word of the query are looked at, and cleared again.
-            touched = np.unique(np.concatenate(seen))
-            np.maximum.at(by_key, at[touched], score[touched])
-            hit = np.unique(at[touched])
-            value = np.round(by_key[hit], 9)
-            score[touched], by_key[hit] = 0.0, 0.0
+            score[:] = 0.0
+            for at, w, qf in held:
+                score[at] += w if qf == 1 else w * qf
+            value = np.round(np.maximum.reduceat(score, starts), 9)
             least = np.partition(value, -k)[-k] if len(value) > k else 0.0
-            top = [(-v, names[d]) for d, v in zip(hit[value >= least].tolist(), value[value >= least].tolist()) if v > 0]
-            for v, name in sorted(top)[:k]:
-                yield query, name, -v
+            hit = np.nonzero((value >= least) & (value > 0))[0]
+            for v, name in sorted((-value[d], names[d]) for d in hit.tolist())[:k]:
+                yield query, name, float(-v)
 
     kind = dict(words.dtypes)[of]
     kinds = f"query_id {dict(terms.dtypes)['query_id']}, {of} {kind}, score double"
