@@ -662,8 +662,8 @@ def _gate_sql() -> str:
 def completeness_gate_decisions(spark, d):
     """Missing fields and uncollected ids of decisions; two ids more than there are were expected."""
     rows = table(spark, d, "decisions")
-    top = spark.range(1, (rows.agg(F.max("row_id")).first()[0] or 0) + 3).withColumnRenamed("id", "i")
-    return gate.completeness_gate(rows, "row_id", ["time", "baseline", "entity"], ["level"], ["grade"], expected=top)
+    ids = range(1, (rows.agg(F.max("row_id")).first()[0] or 0) + 3)
+    return gate.completeness_gate(rows, "row_id", ["time", "baseline", "entity"], ["level"], ["grade"], expected=ids)
 
 
 @query(r"""

@@ -74,6 +74,20 @@ def test_completeness_gate(spark):
     assert passed([], ids=())[0]
 
 
+def test_completeness_gate_of_sparse_ids(spark):
+    """Ids far apart in a range of 10**15: what is expected can't be laid out row by row."""
+    far = range(1, 10**15 + 1)
+    for kind in ("bigint", "string"):
+        df = spark.createDataFrame([(k, 1.0) for k in (1, 10**9, 10**9, 10**15, 10**15 + 7)], "id bigint, odds double").withColumn("id", F.col("id").cast(kind))
+        out = {r["check"]: (r.n, r.fails) for r in gate.completeness_gate(df, "id", ["odds"], expected=far).collect()}
+        assert out == {"missing": (0, False), "uncollected": (10**15 - 3, True), "unexpected": (1, False), "passed": (1, True)}
+    odd = spark.createDataFrame([("01",), ("2",), (None,), ("x",)], "id string").withColumn("odds", F.lit(1.0))
+    for want in (range(1, 4), spark.range(1, 4).toDF("i")):
+        assert {r["check"]: r.n for r in gate.completeness_gate(odd, "id", ["odds"], expected=want).collect()} == {"missing": 0, "uncollected": 2, "unexpected": 3, "passed": 1}
+    with pytest.raises(ValueError):
+        gate.completeness_gate(odd, "id", [], expected=range(1, 9, 2))
+
+
 def states(spark, rows):
     return spark.createDataFrame(rows, "id string, odds double, pool array<string>, budget double")
 
