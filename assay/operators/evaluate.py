@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assay.operators.agree import cohens_kappa, decision_value, value_of_information
 from assay.operators.intervals import confidence_sequence, mean_ci, power_mean
+from assay.operators.resample import ratio_ci
 from assay.sources.tables import cut
 
 
@@ -34,13 +35,17 @@ def paired_ab(df: DataFrame, key: Column, truth: Column, a: Column, b: Column, s
     """(stratum, of, n, n_groups, estimate, lo, hi, reliable...): accuracy of A and B, their paired difference and, with a
     rule, the rule's accuracy and B's difference from it, over all rows and within each value of each stratum column, from
     one scan. A null prediction is wrong; rows without truth are left out."""
-    every = F.array(F.lit("all"), *(F.concat_ws("=", F.lit(s), F.coalesce(F.col(s).cast("string"), F.lit("null"))) for s in strata))
     ra, rb = _right(a, truth), _right(b, truth)
-    measures = {"A": ra, "B": rb, "B-A": rb - ra} | ({"rule": _right(rule, truth), "B-rule": rb - _right(rule, truth)} if rule is not None else {})
-    each = F.array(*(F.struct(F.lit(name).alias("of"), v.alias("v")) for name, v in measures.items()))
-    rows = df.filter(truth.isNotNull()).select(key.alias("_k"), F.explode(every).alias("stratum"), each.alias("es"))
-    long = rows.select("_k", "stratum", F.explode("es").alias("e")).select("_k", "stratum", "e.of", "e.v")
-    return mean_ci(long, F.col("_k"), F.col("v"), by=["stratum", "of"], iters=iters, seed=seed)
+    measures = {"A": ra, "B": rb} | ({"rule": _right(rule, truth)} if rule is not None else {})
+    # Rows with equal key, strata and outcomes are one row from here on.
+    named = [F.concat_ws("=", F.lit(s), F.coalesce(F.col(s).cast("string"), F.lit("null"))).alias(f"_s{k}") for k, s in enumerate(strata)]
+    rows = df.filter(truth.isNotNull()).select(key.alias("_k"), *named, *(v.alias(name) for name, v in measures.items()))
+    rows = rows.groupBy("_k", *(f"_s{k}" for k in range(len(strata))), *measures).agg(F.count("*").alias("_n"))
+    values = {m: F.col(m) for m in measures} | {"B-A": F.col("B") - F.col("A")} | ({"B-rule": F.col("B") - F.col("rule")} if rule is not None else {})
+    each = F.array(*(F.struct(F.lit(name).alias("of"), v.alias("v")) for name, v in values.items()))
+    every = F.array(F.lit("all"), *(f"_s{k}" for k in range(len(strata))))
+    long = rows.select("_k", "_n", F.explode(every).alias("stratum"), each.alias("es")).select("_k", "_n", "stratum", F.explode("es").alias("e")).select("_k", "_n", "stratum", "e.of", "e.v")
+    return ratio_ci(long, F.col("_k"), F.col("v") * F.col("_n"), F.col("_n"), by=["stratum", "of"], iters=iters, seed=seed, rows=F.col("_n"))
 
 
 def ab_report(df: DataFrame, key: Column, truth: Column, a: Column, b: Column, *, mde: float = 0.05, value: float = 1.0, switch_cost: float = 2.0, sampling_cost: float = 1.0, alpha: float = 0.1, iters: int = 2000, seed: int = 42) -> DataFrame:

@@ -3,7 +3,8 @@
 Every statistic here is a ratio of sums over the drawn groups, so rows are reduced to (numerator, denominator) per group
 first and never touched again. Draws are hashes of (seed, iteration, number of the draw) in 32-bit arithmetic: the same on
 any partitioning and in SQL. Up to a bound the groups' sums are broadcast as arrays and a task adds up whole iterations;
-beyond it the draws are rows that are joined by a shuffle, or, with method="poisson", hashes of the group itself.
+beyond it each value of `by` has its arrays sent to its own tasks; beyond a bound for one value the draws are rows that are
+joined by a shuffle, or, with method="poisson", hashes of the group itself.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,13 +33,45 @@ def group_stats(df: DataFrame, key: Column, num: Column, den: Column, by: list[s
 
 
 _WORD = 0xFFFFFFFF
+#: Numbers of draws that are worked on together, so that they stay in the processor's cache.
+_CHUNK = 65_536
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    """A 32-bit hash of 32-bit numbers held in 64 bits."""
-    x = ((x ^ (x >> np.uint64(15))) * np.uint64(0x2C1B3C6D)) & np.uint64(_WORD)
-    x = ((x ^ (x >> np.uint64(12))) * np.uint64(0x297A2D39)) & np.uint64(_WORD)
-    return x ^ (x >> np.uint64(15))
+    """A 32-bit hash of 32-bit numbers, in place."""
+    t = np.empty_like(x)
+    for by, times in ((15, 0x2C1B3C6D), (12, 0x297A2D39), (15, None)):
+        np.right_shift(x, np.uint32(by), out=t)
+        x ^= t
+        if times:
+            x *= np.uint32(times)
+    return x
+
+
+def _resampled(nums: np.ndarray, dens: np.ndarray, its: np.ndarray, seed: int) -> np.ndarray:
+    """From k statistics over the same number m of groups (k, m) and iterations: (k, iterations) values, NaN where the
+    denominators add up to 0. Draws depend on m alone, so all k share them."""
+    k, m = nums.shape
+    v = np.full((k, len(its)), np.nan)
+    start = _mixed(((its.astype(np.uint64) + np.uint64(1000003 * seed)) & np.uint64(_WORD)).astype(np.uint32))
+    j = np.arange(m, dtype=np.uint32)
+    even = dens[:, 0] if (dens == dens[:, :1]).all() and (dens[:, 0] == np.floor(dens[:, 0])).all() else None
+    for at in range(0, len(its), each := max(1, _CHUNK // m)):
+        x = _mixed(start[at : at + each, None] ^ j[None, :])
+        x -= x // np.uint32(m) * np.uint32(m)
+        if k == 1:
+            drawn = x.astype(np.intp)
+            n = nums[0].take(drawn, mode="clip").sum(1)[None]
+            d = even[:, None] * m if even is not None else dens[0].take(drawn, mode="clip").sum(1)[None]
+        else:
+            times = np.empty((m, len(x)))
+            for r, row in enumerate(x):
+                times[:, r] = np.bincount(row.astype(np.intp), minlength=m)
+            n = nums @ times
+            d = even[:, None] * m if even is not None else dens @ times
+        d = np.broadcast_to(d, n.shape)
+        v[:, at : at + each] = np.divide(n, d, out=np.full(n.shape, np.nan), where=d != 0)
+    return v
 
 
 def mixed(x: Column) -> Column:
@@ -47,25 +81,27 @@ def mixed(x: Column) -> Column:
     return x.bitwiseXOR(F.shiftright(x, 15))
 
 
-def replicates(stats: DataFrame, iters: int = 2000, seed: int = 42, by: list[str] | None = None, broadcast_groups: int = 2_000_000) -> DataFrame:
+def replicates(stats: DataFrame, iters: int = 2000, seed: int = 42, by: list[str] | None = None, broadcast_groups: int = 2_000_000, task_groups: int = 4_000_000) -> DataFrame:
     """(by..., i, v): the statistic sum(num) / sum(den) of each resample of the groups; null denominators are dropped.
 
     Draw j of iteration i takes the group with number hash(hash(i + 1000003 seed) xor j) modulo the number of groups, in the
-    order of key within by. stats is read twice, so it should be a table. Up to broadcast_groups groups their sums are sent to every executor (16 bytes a group); beyond
-    that groups are numbered by range and the draws are joined to them by a shuffle, with the same result."""
+    order of key within by. stats is read several times, so it should be a table. Up to broadcast_groups groups their sums are
+    sent to every executor (16 bytes a group). Of more groups, as long as no value of by has over task_groups, arrays of their
+    sums go to the tasks that resample them. Beyond that groups are numbered by range and the draws are joined to them by a
+    shuffle. The result is the same."""
     by = by or []
     groups = stats.count()
     if groups > broadcast_groups:
-        return _joined_replicates(stats, iters, seed, by)
+        if (stats.groupBy(*by).count().agg(F.max("count")).first()[0] if by else groups) > task_groups:
+            return _joined_replicates(stats, iters, seed, by)
+        return _dealt_replicates(stats, iters, seed, by)
     spark = stats.sparkSession
     known = stats.select(*by, "key", "num", "den").sort(*by, "key").drop("key").toArrow()
     num, den = (known[c].to_numpy(zero_copy_only=False).astype("float64") for c in ("num", "den"))
-    where = [known[b].to_pylist() for b in by]
-    starts = [k for k in range(groups) if k == 0 or any(w[k] != w[k - 1] for w in where)]
+    starts = _starts(known, by)
     names = pa.table({b: known[b] for b in by}).take(pa.array(starts, pa.int64())) if by else None
     shared = spark.sparkContext.broadcast((num, np.nan_to_num(den), np.array([*starts, groups]), names))
-    of_by = ", ".join(f"`{b}` {t}" for b, t in stats.select(*by).dtypes)
-    schema = ", ".join(x for x in (of_by, "i int, v double") if x)
+    schema = _schema(stats, by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         num, den, bounds, names = shared.value
@@ -75,14 +111,8 @@ def replicates(stats: DataFrame, iters: int = 2000, seed: int = 42, by: list[str
             which, its = ids // iters, ids % iters
             for g in np.unique(which):
                 rows = np.nonzero(which == g)[0]
-                low, m = bounds[g], int(bounds[g + 1] - bounds[g])
-                x, y, j = num[low : low + m], den[low : low + m], np.arange(m, dtype=np.uint64)
-                start = _mixed((its[rows].astype(np.uint64) + np.uint64(1000003 * seed)) & np.uint64(_WORD))
-                each = max(1, 500_000 // m)
-                for k in range(0, len(rows), each):
-                    at = (_mixed(start[k : k + each, None] ^ j[None, :]) % np.uint64(m)).astype(np.int64)
-                    d = y[at].sum(1)
-                    v[rows[k : k + each]] = np.divide(x[at].sum(1), d, out=np.full(len(d), np.nan), where=d != 0)
+                own = slice(bounds[g], bounds[g + 1])
+                v[rows] = _resampled(num[None, own], den[None, own], its[rows], seed)[0]
             keep = np.nonzero(~np.isnan(v))[0]
             columns = [c.combine_chunks().take(pa.array(which[keep])) for c in names.columns] if names is not None else []
             yield pa.RecordBatch.from_arrays([*columns, pa.array(its[keep].astype("int32")), pa.array(v[keep])], names=[*(names.column_names if names is not None else []), "i", "v"])
@@ -91,6 +121,94 @@ def replicates(stats: DataFrame, iters: int = 2000, seed: int = 42, by: list[str
     return spark.range(len(starts) * iters, numPartitions=tasks).mapInArrow(run, schema)
 
 
+def _schema(stats: DataFrame, by: list[str]) -> str:
+    of_by = ", ".join(f"`{b}` {t}" for b, t in stats.select(*by).dtypes)
+    return ", ".join(x for x in (of_by, "i int, v double") if x)
+
+
+def _starts(rows: pa.Table | pa.RecordBatch, by: list[str]) -> list[int]:
+    """Where in rows in the order of by another value of by begins."""
+    n = rows.num_rows
+    other = np.zeros(n, bool)
+    other[:1] = True
+    for c in by:
+        x = rows[c].combine_chunks() if isinstance(rows, pa.Table) else rows[c]
+        code = x.dictionary_encode().indices if not isinstance(x, pa.ChunkedArray) else x.dictionary_encode().combine_chunks().indices
+        code = code.fill_null(-1).to_numpy(zero_copy_only=False)
+        other[1:] |= code[1:] != code[:-1]
+    return np.nonzero(other)[0].tolist()
+
+
+#: Statistics over equally many groups that are resampled together, as long as they have no more than so many groups in all.
+_TOGETHER, _TOGETHER_GROUPS = 8, 1_000_000
+
+
+def _dealt_replicates(stats: DataFrame, iters: int, seed: int, by: list[str]) -> DataFrame:
+    """The same by arrays: the groups' sums in the order of their keys become blocks of arrays, and the blocks of each value
+    of by go to the tasks that make some of its iterations."""
+    spark = stats.sparkSession
+    of_by = "".join(f"`{b}` {t}, " for b, t in stats.select(*by).dtypes)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for seq, b in enumerate(batches):
+            if not b.num_rows:
+                continue
+            starts = _starts(b, by)
+            offsets = pa.array([*starts, b.num_rows], pa.int32())
+            arrays = [pa.ListArray.from_arrays(offsets, b[c].fill_null(0.0)) for c in ("num", "den")]
+            at = pa.array(starts, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b[c].take(at) for c in by), pa.array([part] * len(starts), pa.int32()), pa.array([seq] * len(starts), pa.int32()), *arrays], names=[*by, "part", "seq", "num", "den"])
+
+    ordered = stats.select(*by, "key", "num", "den").repartitionByRange(*by, "key").sortWithinPartitions(*by, "key").drop("key")
+    blocks = cut(ordered.mapInArrow(pack, of_by + "part int, seq int, num array<double>, den array<double>"))
+    sizes = blocks.groupBy(*by).agg(F.sum(F.size("num")).alias("m"))
+    # Values of by with equally many groups have the same draws.
+    together = F.greatest(F.lit(1), F.least(F.lit(_TOGETHER), F.floor(_TOGETHER_GROUPS / F.col("m"))))
+    lot = F.floor((F.row_number().over(Window.partitionBy("m").orderBy(*by)) - 1) / together) if by else F.lit(0)
+    sizes = cut(sizes.withColumn("lot", lot.cast("bigint")))
+    lots, parallel = sizes.select("m", "lot").distinct().count(), spark.sparkContext.defaultParallelism
+    slices = max(1, min(iters, -(-4 * parallel // lots)))
+    if by:
+        same = [blocks[b].eqNullSafe(sizes[b]) for b in by]
+        few = F.broadcast(sizes) if lots <= 100_000 else sizes
+        blocks = blocks.join(few, same).select(*(blocks[b] for b in by), "part", "seq", "num", "den", "m", "lot")
+    else:
+        blocks = blocks.join(F.broadcast(sizes))
+    blocks = blocks.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    dealt = blocks.repartition(min(8 * parallel, lots * slices), "m", "lot", "slice").sortWithinPartitions("m", "lot", "slice", *by, "part", "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, named, nums, dens = None, [], [], []
+
+        def values() -> Iterator[pa.RecordBatch]:
+            its = np.arange(iters * here[2] // slices, iters * (here[2] + 1) // slices)
+            v = _resampled(np.array([np.concatenate(x) for x in nums]), np.array([np.concatenate(x) for x in dens]), its, seed)
+            for row, name in zip(v, named):
+                keep = np.nonzero(~np.isnan(row))[0]
+                columns = [pa.repeat(x, len(keep)) for x in name]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(its[keep].astype("int32")), pa.array(row[keep])], names=[*by, "i", "v"])
+
+        for b in batches:
+            for r in range(b.num_rows):
+                at, name = tuple(b[c][r].as_py() for c in ("m", "lot", "slice")), [b[c][r] for c in by]
+                if at != here:
+                    if here:
+                        yield from values()
+                    here, named, nums, dens = at, [], [], []
+                if not named or named[-1] != name:
+                    named.append(name)
+                    nums.append([])
+                    dens.append([])
+                # Copied, so that the batch isn't kept.
+                nums[-1].append(b["num"][r].values.to_numpy().copy())
+                dens[-1].append(b["den"][r].values.to_numpy().copy())
+        if here:
+            yield from values()
+
+    return dealt.mapInArrow(run, _schema(stats, by))
+
+
 def _joined_replicates(stats: DataFrame, iters: int, seed: int, by: list[str]) -> DataFrame:
     numbered = cut(with_ordinal(stats, ["key"], by=by))
     m = numbered.groupBy(*by).agg(F.count("*").alias("m"))
@@ -136,16 +254,16 @@ def interval(reps: DataFrame, by: list[str] | None = None) -> DataFrame:
     return vs.select(*(by or []), at(0.05).alias("lo"), at(0.95).alias("hi"))
 
 
-def ratio_ci(df: DataFrame, key: Column, num: Column, den: Column, *, by: list[str] | None = None, iters: int = 2000, seed: int = 42, scale: float = 1.0, null_value: float = 0.0, method: str = "draws") -> DataFrame:
+def ratio_ci(df: DataFrame, key: Column, num: Column, den: Column, *, by: list[str] | None = None, iters: int = 2000, seed: int = 42, scale: float = 1.0, null_value: float = 0.0, method: str = "draws", rows: Column | None = None) -> DataFrame:
     """(by..., n, n_groups, estimate, lo, hi, reliable, robust_positive, robust_negative, ci_method, ci_caveat): a ratio
     of sums and its interval.
 
     Reliable from 30 groups on; robust only if reliable and the interval lies on one side of null_value. No rows give no
     result. The percentile interval is too narrow for heavy tails and few groups. method: "draws" of as many groups as there
-    are, or "poisson" for more groups than should be numbered and joined."""
+    are, or "poisson" for more groups than should be numbered and joined. rows: how many rows a row stands for, 1 if not given."""
     by = by or []
-    keyed = df.withColumn("_key", key).withColumn("_num", num.cast("double")).withColumn("_den", den.cast("double"))
-    stats = cut(keyed.filter("_num is not null").groupBy(*by, F.col("_key").alias("key")).agg(F.sum("_num").alias("num"), F.sum("_den").alias("den"), F.count("*").alias("rows")))
+    keyed = df.withColumn("_key", key).withColumn("_num", num.cast("double")).withColumn("_den", den.cast("double")).withColumn("_rows", (F.lit(1) if rows is None else rows).cast("bigint"))
+    stats = cut(keyed.filter("_num is not null").groupBy(*by, F.col("_key").alias("key")).agg(F.sum("_num").alias("num"), F.sum("_den").alias("den"), F.sum("_rows").alias("rows")))
     point = stats.groupBy(*by).agg(F.sum("rows").alias("n"), F.count("*").alias("n_groups"), (F.try_divide(F.sum("num"), F.sum("den")) * scale).alias("estimate")).filter("n > 0")
     resample = {"draws": replicates, "poisson": poisson_replicates}[method]
     ci = interval(resample(stats.drop("rows"), iters, seed, by), by).withColumns({"lo": F.col("lo") * scale, "hi": F.col("hi") * scale})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from assay.functions import prob
 from assay.functions.contract import assert_contract, group_key
-from assay.operators import agree, calibrate, intervals, overfit, scan
+from assay.operators import agree, calibrate, intervals, overfit, resample, scan
 from assay.operators.ordinal import with_ordinal
 from assay.operators.resample import group_stats, interval, replicates
 
@@ -67,6 +67,20 @@ def test_replicates_dont_depend_on_partitions(spark):
     assert [tuple(round(x, 9) for x in r) for r in a] == [tuple(round(x, 9) for x in r) for r in b]
 
 
+def test_replicates_by_arrays_and_by_joins(spark, monkeypatch):
+    """More groups than are sent to every executor: arrays for each value of by, and draws that are joined only beyond the
+    bound of one value, give the same."""
+    df = spark.range(2000).selectExpr("concat('s', id % 2, if(id % 14 < 7, 'x', '')) as s", "id % 3 as t", "concat('k', id) as key", "cast(id * id % 11 as double) as num", "cast(if(id < 999, 1, 2 + id % 3) as double) as den").sort("num").localCheckpoint()
+    rows = lambda by, **how: [(*r[:-1], round(r.v, 9)) for r in replicates(df, 60, by=by, **how).sort(*by, "i").collect()]
+    whole = rows(["s", "t"])
+    assert len(whole) == 12 * 60
+    for by, want in (["s", "t"], whole), ([], rows([])):
+        assert rows(by, broadcast_groups=0, task_groups=0) == want
+        monkeypatch.setattr(resample, "_joined_replicates", None)  # draws as rows take hours for millions of groups
+        assert rows(by, broadcast_groups=10) == want
+        monkeypatch.undo()
+
+
 def test_poisson_agrees(spark):
     rnd = random.Random(7)
     df = rows(spark, [(f"g{i % 300}", rnd.gauss(1, 2)) for i in range(3000)])
