@@ -79,11 +79,15 @@ def axis_means(scores: DataFrame) -> DataFrame:
     return scores.groupBy("rater", "axis").agg(F.count("*").alias("n"), F.avg("score").alias("mean"))
 
 
+#: Comparisons (of raters by axis, say) up to which those with enough items are sent to every task; more are joined by a shuffle.
+_BROADCAST_COMPARED = 100_000
+
+
 def _differences(both: DataFrame, by: list[str], least: int, iters: int, seed: int) -> DataFrame:
     """From (by..., item, sa, sb): kappa, agreement and the paired difference with its interval, resampled by item."""
     both = cut(both.filter("sa is not null and sb is not null"))
-    enough = both.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).drop("_n")
-    both = cut(both.join(enough, by, "left_semi"))
+    enough = cut(both.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).drop("_n"))
+    both = both.join(F.broadcast(enough) if enough.count() <= _BROADCAST_COMPARED else enough, by, "left_semi")
     ci = mean_ci(both, F.col("item"), F.col("sa") - F.col("sb"), by=by, iters=iters, seed=seed)
     ci = ci.select(*by, F.col("estimate").alias("difference"), "lo", "hi", "reliable", "robust_positive", "robust_negative")
     kappa = cohens_kappa(both, F.col("sa"), F.col("sb"), by).select(*by, "n", F.col("po").alias("agreement"), "kappa")
@@ -95,6 +99,7 @@ def pairwise_agreement(scores: DataFrame, least: int = 10, *, iters: int = 2000,
     robust_positive, robust_negative, finding) of raters with `least` items in common; finding: higher, lower or none.
 
     Items are matched by key; what is compared are an item's few raters."""
+    scores = cut(scores.select("item", "axis", "rater", "score"))
     a = scores.select("item", "axis", F.col("rater").alias("rater_a"), F.col("score").alias("sa"))
     b = scores.select("item", "axis", F.col("rater").alias("rater_b"), F.col("score").alias("sb"))
     out = _differences(a.join(b, ["item", "axis"]).filter("rater_a < rater_b"), ["axis", "rater_a", "rater_b"], least, iters, seed)

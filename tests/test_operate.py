@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from assay.operators import action, evaluate, gate, leak, retrieve
+from assay.operators import action, evaluate, gate, leak, resample, retrieve
 from assay.plans import reference
 from assay.sources import records
 from assay.streaming import monitor
@@ -291,6 +291,18 @@ def test_replay_through_the_judge(spark, tmp_path):
     assert none.count() == 0
 
 
+def test_pairs_without_draws_as_rows(spark, monkeypatch):
+    """Pairs of raters over more groups than are sent to every executor get the same rows, and no draw becomes a row."""
+    votes = spark.range(360).selectExpr("cast(id % 60 as string) as item", "'f' as axis", "concat('r', id div 60) as rater", "cast(hash(id) % 3 as int) as score").filter("rater <> 'r5' or item < '15'")
+    rows = lambda: sorted(map(tuple, evaluate.pairwise_agreement(votes, iters=50).collect()))
+    want = rows()
+    assert len(want) == 10 and all(r[3] == 60 for r in want)  # r5 shares too few items
+    monkeypatch.setattr(evaluate, "_BROADCAST_COMPARED", 0)
+    monkeypatch.setattr(resample, "_joined_replicates", None)
+    monkeypatch.setattr(resample.replicates, "__defaults__", (2000, 42, None, 10, 4_000_000))
+    assert rows() == want
+
+
 def test_hot_group_and_placeholder_entity(spark):
     """One group and one entity with nine tenths of the rows give what a plain count over all pairs gives."""
     rnd = random.Random(8)
