@@ -110,7 +110,7 @@ def ablation(with_it: DataFrame, without: DataFrame, axes: list[str], least: int
     """From two frames (item, axis, rater, score): (rater, axis, n, difference, lo, hi, reliable, robust_positive,
     robust_negative, finding) of each rater's scores with and without, paired by item; at least `least` items in common."""
     a = with_it.filter(F.col("axis").isin(axes)).select("item", "axis", "rater", F.col("score").alias("sa"))
-    b = without.select("item", "axis", "rater", F.col("score").alias("sb"))
+    b = without.filter(F.col("axis").isin(axes)).select("item", "axis", "rater", F.col("score").alias("sb"))
     out = _differences(a.join(b, ["item", "axis", "rater"]), ["rater", "axis"], least, iters, seed).drop("kappa", "agreement")
     return out.withColumn("finding", F.when(F.col("robust_positive"), "with").when(F.col("robust_negative"), "without").otherwise("none"))
 

@@ -303,6 +303,16 @@ def test_pairs_without_draws_as_rows(spark, monkeypatch):
     assert rows() == want
 
 
+def test_ablation_without_draws_as_rows(spark, monkeypatch):
+    votes = spark.range(240).selectExpr("cast(id % 60 as string) as item", "if(id % 2 = 0, 'f', 'g') as axis", "concat('r', id div 60) as rater", "cast(hash(id) % 3 as int) as score")
+    rows = lambda: sorted(map(tuple, evaluate.ablation(votes, votes.withColumn("score", F.lit(1)), ["f"], iters=50).collect()))
+    want = rows()
+    assert len(want) == 4
+    monkeypatch.setattr(resample, "_joined_replicates", None)
+    monkeypatch.setattr(resample.replicates, "__defaults__", (2000, 42, None, 10, 4_000_000))
+    assert rows() == want
+
+
 def test_hot_group_and_placeholder_entity(spark):
     """One group and one entity with nine tenths of the rows give what a plain count over all pairs gives."""
     rnd = random.Random(8)
