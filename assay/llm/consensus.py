@@ -53,33 +53,39 @@ def pair_agreement(votes: DataFrame, least: int = 20) -> DataFrame:
     return total.join(chance, ["a", "b"], "left").select("a", "b", "n", c.alias("c"))
 
 
-def triplet_skills(agreement: DataFrame, partners: int = 64, informative: float = 0.1) -> DataFrame:
+def triplet_skills(agreement: DataFrame, partners: int | None = None, informative: float = 0.1) -> DataFrame:
     """From (a, b, n, c): (rater, skill) in 0..1: the root of the median over pairs (j, k) of c_ij c_ik / c_jk.
 
-    j and k run over the `partners` raters with whom a rater has most items in common. Pairs with c_jk at most
-    `informative` form no triplet; a rater in none has no row."""
+    j and k run over all raters with whom a rater was compared or, if partners is given, those with most items in common.
+    Pairs with c_jk at most `informative` form no triplet; a rater in none has no row. The median is exact; it is taken by
+    ranks, which spill, so that a rater with many triplets needs no more memory."""
     pairs = cut(agreement)
     ways = pairs.select(F.col("a").alias("i"), F.col("b").alias("j"), "n", "c").unionByName(pairs.select(F.col("b").alias("i"), F.col("a").alias("j"), "n", "c"))
-    near = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), "j"))
-    ways = ways.withColumn("r", near).filter(F.col("r") <= partners)
+    if partners is not None:
+        near = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), "j"))
+        ways = ways.withColumn("r", near).filter(F.col("r") <= partners)
     one, two = ways.select("i", "j", F.col("c").alias("cij")), ways.select("i", F.col("j").alias("k"), F.col("c").alias("cik"))
     known = pairs.filter(F.col("c") > informative).select(F.col("a").alias("j"), F.col("b").alias("k"), F.col("c").alias("cjk"))
-    triplets = one.join(two, "i").filter("j < k").join(known, ["j", "k"])
-    ratio = F.col("cij") * F.col("cik") / F.col("cjk")
-    return triplets.groupBy("i").agg(F.median(ratio).alias("m")).select(F.col("i").alias("rater"), F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("m")))).alias("skill"))
+    # A partner j meets the known pairs of j; those whose k is a partner too stay.
+    triplets = one.join(known, "j").join(two, ["i", "k"])
+    ratios = triplets.select("i", (F.col("cij") * F.col("cik") / F.col("cjk")).alias("x"))
+    ranked = ratios.select("i", "x", F.row_number().over(Window.partitionBy("i").orderBy("x")).alias("r"), F.count("*").over(Window.partitionBy("i")).alias("m"))
+    middle = ranked.filter((F.col("r") == F.floor((F.col("m") + 1) / 2)) | (F.col("r") == F.floor(F.col("m") / 2) + 1))
+    median = middle.groupBy("i").agg(F.avg("x").alias("m"))
+    return median.select(F.col("i").alias("rater"), F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("m")))).alias("skill"))
 
 
 #: Raters up to which their weights are sent to every task; more are joined by a shuffle.
 BROADCAST_RATERS = 200_000
 
 
-def consensus(votes: DataFrame, *, classes: int = 3, least_raters: int = 3, partners: int = 64) -> tuple[DataFrame, DataFrame]:
+def consensus(votes: DataFrame, *, classes: int = 3, least_raters: int = 3, partners: int | None = None) -> tuple[DataFrame, DataFrame]:
     """From (item, axis, rater, score): scores and raters.
 
     Scores: item, axis, score, n_raters, agreement (the winner's share of the weight) for each item and axis with votes
     of at least least_raters. Raters: rater, n_votes, skill, accuracy, weight. A rater no better than chance weighs 0; an
     item with no other raters is decided by majority; ties go to the lower score. No votes give empty frames. Any number of
-    raters is handled by joins; a rater's skill follows from the `partners` with most items in common."""
+    raters is handled by joins; a rater's skill follows from all raters compared with them, or the `partners` with most items in common."""
     votes = cut(votes.select("item", "axis", "rater", "score"))
     counts = votes.groupBy("rater").agg(F.count("*").alias("n_votes"))
     raters = counts.join(triplet_skills(pair_agreement(votes), partners), "rater", "left").withColumn("skill", F.coalesce("skill", F.lit(0.0)))

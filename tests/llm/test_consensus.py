@@ -69,6 +69,18 @@ def test_many_raters_and_a_hot_one(spark):
     assert right > 0.97 * scores.count() > 0
 
 
+def test_all_partners_count(spark):
+    """A rater's skill is the median over all triplets with more than 64 other raters, as by brute force."""
+    rnd, n = random.Random(4), 70
+    c = {(a, b): (rnd.randrange(20, 90), rnd.uniform(-0.1, 0.9)) for a in range(n) for b in range(a + 1, n) if rnd.random() < 0.98 or a == 0}
+    got = {r.rater: r.skill for r in triplet_skills(spark.createDataFrame([(f"r{a:02d}", f"r{b:02d}", k, v) for (a, b), (k, v) in c.items()], "a string, b string, n int, c double")).collect()}
+    of = lambda a, b: c.get((min(a, b), max(a, b)), (0, None))[1]
+    for i in range(n):
+        near = [j for j in range(n) if j != i and of(i, j) is not None]
+        xs = [of(i, j) * of(i, k) / of(j, k) for j in near for k in near if j < k and (of(j, k) or 0) > 0.1]
+        assert abs(got[f"r{i:02d}"] - min(1, max(0, np.median(xs))) ** 0.5) < 1e-12
+
+
 def test_few_raters(spark):
     df = spark.createDataFrame([("i", "f", "a", 1), ("i", "f", "b", 2), ("i", "f", "c", 2), ("j", "f", "a", 1)], "item string, axis string, rater string, score int")
     scores, raters = consensus(df)
