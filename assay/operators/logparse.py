@@ -1,11 +1,11 @@
 """Log lines of several programs into one record per entry.
 
 Lines are cut into tokens and reduced to shapes (what is a number, a word, a level or punctuation). The distinct shapes
-that could begin an entry, with their counts and a few lines chosen by hash, are partitioned iteratively by token count,
-least-variable position and token bijections. Each leaf is a template: constant tokens and variable slots. By the values
-that a template's slots take it is decided which of them are time, level and component, and whether lines with that
-template begin an entry at all; there is no list of programs or layouts. Then each line is read again, in order, and its
-fields are taken by the positions that its template gives.
+that could begin an entry, with counts of the values that their slots before the message take in all lines, are
+partitioned iteratively by token count, least-variable position and token bijections. Each leaf is a template: constant
+tokens and variable slots. By the values that a template's slots take it is decided which of them are time, level and
+component, and whether lines with that template begin an entry at all; there is no list of programs or layouts. Then each
+line is read again, in order, and its fields are taken by the positions that its template gives.
 
 Lines follow their entry over blocks of line numbers, so that a stream with most of the rows is spread over many tasks.
 """
@@ -13,7 +13,6 @@ Lines follow their entry over blocks of line numbers, so that a stream with most
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,14 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.operators.loglex import LEVEL_KEYS, NAME_KEYS, SAY_KEYS, TIME_KEYS, TIMES, YEARLESS, Line, Masks, Plan, level_name, lex, locate, plan_of, read_time, slot_plans, time_text
+from assay.operators.loglex import LEVEL_KEYS, MESSAGES, NAME_KEYS, SAY_KEYS, TIME_KEYS, TIMES, YEARLESS, Head, Masks, Plan, Values, head_plans, level_name, lex, places, plan_of, read_time, time_at, time_text
 from assay.sources.tables import cut
 
 _SEP = "\x01"
 _TAB = "\t"
 _COLOUR = re.compile("\x1b\\[[0-9;]*[A-Za-z]")
-#: Lines kept per shape, and shapes per template, from which the slots are decided; chosen by hash from all.
-LINES_PER_SHAPE, SHAPES_PER_LEAF = 4, 256
+_AT = ("kind", "notation", "i", "j")
 
 
 def clean(text: str | None) -> str:
@@ -40,18 +38,27 @@ def clean(text: str | None) -> str:
 
 
 def shapes_of(texts: DataFrame) -> DataFrame:
-    """From (text): (shape, n, l0..l3), the shapes that can begin an entry, their number of lines and up to four of them,
-    the least by hash in each quarter of the hashes. A task sends one row per shape, or several if there are very many."""
+    """From (text): (shape, n, heads), the shapes that can begin an entry, the number of their lines that have a time, and
+    what is counted of all of these. A task sends one row per shape, or several if it counts very many values; a shape has
+    a head for each of these rows and each place and notation of its time."""
 
-    kept = pa.struct([("h", pa.int64()), ("line", pa.string())])
-    fields = pa.schema([("shape", pa.string()), ("n", pa.int64()), *((f"l{q}", kept) for q in range(LINES_PER_SHAPE))])
+    word = pa.struct([("k", pa.int32()), ("v", pa.string()), ("n", pa.int64()), ("rest", pa.int64()), ("several", pa.bool_())])
+    head = pa.struct([
+        ("kind", pa.string()), ("notation", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("head", pa.string()), ("n", pa.int64()), ("line", pa.string()),
+        ("late", pa.int32()), ("said", pa.list_(pa.int64())), ("words", pa.list_(word)),
+    ])
+    fields = pa.schema([("shape", pa.string()), ("n", pa.int64()), ("heads", pa.list_(head))])
+
+    def packed(h: Head) -> dict:
+        words = [{"k": k, "v": v, "n": n, "rest": rest, "several": several} for (k, v), (n, rest, several) in h.words.items()]
+        return dict(zip(_AT, h.at)) | {"head": _TAB.join(h.masks[: h.to]), "n": h.n, "line": h.line, "late": h.late, "said": list(h.said), "words": words}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks, found, barren = Masks(), {}, set()
+        masks, values, found, begins, held = Masks(), Values(), {}, {}, 0
 
         def frame() -> pa.RecordBatch:
-            lines = [[e[1 + q] and {"h": e[1 + q][0], "line": e[1 + q][1]} for e in found.values()] for q in range(LINES_PER_SHAPE)]
-            columns = [pa.array(list(found), pa.string()), pa.array([e[0] for e in found.values()], pa.int64()), *(pa.array(x, kept) for x in lines)]
+            of = [list(e.values()) for e in found.values()]
+            columns = [pa.array(list(found), pa.string()), pa.array([sum(h.n for h in e) for e in of], pa.int64()), pa.array([[packed(h) for h in e] for e in of], pa.list_(head))]
             return pa.RecordBatch.from_arrays(columns, schema=fields)
 
         for b in batches:
@@ -62,27 +69,34 @@ def shapes_of(texts: DataFrame) -> DataFrame:
                 tokens = lex(line)
                 kinds = [masks[t] for t in tokens]
                 shape = _TAB.join(kinds)
-                e = found.get(shape)
-                if e is None:
-                    if shape in barren:
-                        continue
-                    if locate(tokens, kinds) is None:
-                        if len(barren) < 200_000 and len(shape) < 1000:
-                            barren.add(shape)
-                        continue
-                    e = found[shape] = [0] + [None] * LINES_PER_SHAPE
-                e[0] += 1
-                h = zlib.crc32(line.encode("utf-8", "replace"))
-                q = 1 + h % LINES_PER_SHAPE
-                if e[q] is None or (h, line) < e[q]:
-                    e[q] = (h, line)
-            if len(found) > 50_000:
+                begin = begins.get(shape)
+                if begin is None:
+                    begin = places(kinds)
+                    if len(shape) < 1000:
+                        if len(begins) > 200_000:
+                            begins.clear()
+                        begins[shape] = begin
+                at = time_at(line, tokens, *begin) if begin[0] else None
+                if at is None:
+                    continue
+                e = found.setdefault(shape, {})
+                h = e.get(at)
+                if h is None:
+                    h = e[at] = Head(at, kinds)
+                    held += 10 + len(shape) // 64
+                before = len(h.words)
+                h.add(line, tokens, values)
+                held += len(h.words) - before
+            if held > 1_000_000:
                 yield frame()
-                found = {}
+                found, held = {}, 0
         yield frame()
 
-    schema = "shape string, n bigint, " + ", ".join(f"l{q} struct<h: bigint, line: string>" for q in range(LINES_PER_SHAPE))
-    return texts.mapInArrow(run, schema).groupBy("shape").agg(F.sum("n").alias("n"), *(F.min(f"l{q}").alias(f"l{q}") for q in range(LINES_PER_SHAPE)))
+    schema = (
+        "shape string, n bigint, heads array<struct<kind: string, notation: string, i: int, j: int, head: string, n: bigint, line: string, late: int, said: array<bigint>, "
+        "words: array<struct<k: int, v: string, n: bigint, rest: bigint, several: boolean>>>>"
+    )
+    return texts.mapInArrow(run, schema).groupBy("shape").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("heads")).alias("heads"))
 
 
 def mine_templates(shapes: DataFrame) -> DataFrame:
@@ -127,6 +141,11 @@ def mine_templates(shapes: DataFrame) -> DataFrame:
 
 _PLAN = "struct<kind: string, notation: string, day_first: boolean, time: array<int>, level: array<int>, level_form: string, component: array<int>, message: array<int>, head: array<string>>"
 
+_PAIR, _NAME = pa.list_(pa.int32()), pa.string()
+_PLANS = pa.list_(pa.struct([
+    ("kind", _NAME), ("notation", _NAME), ("day_first", pa.bool_()), ("time", _PAIR), ("level", _PAIR), ("level_form", _NAME), ("component", _PAIR), ("message", _PAIR), ("head", pa.list_(_NAME)),
+]))
+
 
 def _pack(p: Plan) -> dict:
     return {k: list(v) if isinstance(v, tuple) else v for k, v in p._asdict().items()}
@@ -139,50 +158,56 @@ def _unpack(row) -> Plan:
 
 
 def template_plans(mined: DataFrame) -> DataFrame:
-    """(shape, plan) of the mined shapes: what their template's slots hold, decided from the lines of up to 256 shapes of
-    the template, the least by hash. A shape whose head none of these has is decided by its own lines."""
-    lines = F.array_compact(F.array(*(F.col(f"l{q}.line") for q in range(LINES_PER_SHAPE)))).alias("lines")
-    rows = mined.select("leaf", "shape", "n", lines)
-    # Two steps, so that the shapes of a large template don't meet in one task.
-    order = F.xxhash64("shape")
-    first = Window.partitionBy("leaf", F.pmod(order, F.lit(64))).orderBy(order, "shape")
-    then = Window.partitionBy("leaf").orderBy(order, "shape")
-    few = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= SHAPES_PER_LEAF)
-    few = few.withColumn("r", F.row_number().over(then)).filter(F.col("r") <= SHAPES_PER_LEAF)
-    sampled = few.groupBy("leaf").agg(F.collect_list(F.struct("n", "lines")).alias("sample"))
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(shape, plan) of the mined shapes: what their template's slots hold, decided from the counts of all its lines. A
+    shape has its time where most of its lines have it."""
+    counted = mined.select("leaf", "shape", F.explode("heads").alias("h"))
+    key = ["leaf", *_AT, "head"]
+    heads = counted.select("leaf", "h.*")
+    # Counts of a template's heads add up before they meet in one task, so that its shapes and lines don't.
+    words = (
+        heads.select(*key, F.explode("words").alias("w")).groupBy(*key, "w.k", "w.v")
+        .agg(F.sum("w.n").alias("n"), F.min("w.rest").alias("rest"), (F.bool_or("w.several") | F.coalesce(F.min("w.rest") != F.max("w.rest"), F.lit(False))).alias("several"))
+        .groupBy(*key).agg(F.collect_list(F.struct("k", "v", "n", "rest", "several")).alias("words"))
+    )
+    said = heads.select(*key, F.explode("said").alias("said")).groupBy(*key).agg(F.collect_set("said").alias("said"))
+    whole = heads.groupBy(*key).agg(F.sum("n").alias("n"), F.min("line").alias("line"), F.bit_or("late").alias("late"))
+    whole = whole.join(words, key, "left").join(said, key, "left")
+    of = whole.groupBy("leaf").agg(F.collect_list(F.struct(*_AT, "n", "line", "late", F.slice("said", 1, MESSAGES).alias("said"), "words")).alias("heads"))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = Masks()
         for b in batches:
-            out = []
-            for sample in b["sample"]:
-                own = [Line(s["n"], t, [masks[x] for x in t]) for s in sample for t in map(lex, s["lines"])]
-                out.append([_pack(p) for p in slot_plans(own)])
-            yield pd.DataFrame({"leaf": b["leaf"], "plans": out})
-
-    plans = cut(sampled.mapInPandas(decide, f"leaf string, plans array<{_PLAN}>"))
+            for leaf, rows in zip(b.column("leaf").to_pylist(), b.column("heads").to_pylist()):
+                found = []
+                for r in rows:
+                    tokens = lex(r["line"])
+                    h = Head(tuple(r[c] for c in _AT), [masks[t] for t in tokens])
+                    h.tokens, h.n, h.late, h.said = tokens, r["n"], r["late"], set(r["said"] or ())
+                    h.words = {(w["k"], w["v"]): [w["n"], w["rest"], w["several"]] for w in r["words"] or ()}
+                    found.append(h)
+                plans = pa.array([[_pack(p) for p in head_plans(found)]], _PLANS)
+                yield pa.RecordBatch.from_arrays([pa.array([leaf], pa.string()), plans], names=["leaf", "plans"])
+
+    plans = cut(of.mapInArrow(decide, f"leaf string, plans array<{_PLAN}>"))
+    votes = counted.groupBy("leaf", "shape", *(f"h.{c}" for c in _AT)).agg(F.sum("h.n").alias("n"))
+    placed = votes.groupBy("leaf", "shape").agg(F.max(F.struct("n", *_AT)).alias("at")).select("leaf", "shape", *(f"at.{c}" for c in _AT))
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        masks, known = Masks(), {}
+        known: dict = {}
         for b in batches:
             shapes, out = [], []
-            for leaf, shape, lines, plans in zip(b["leaf"], b["shape"], b["lines"], b["plans"]):
+            for leaf, shape, plans, *at in zip(b["leaf"], b["shape"], b["plans"], *(b[c] for c in _AT)):
                 if leaf not in known:
                     if len(known) > 10_000:
                         known.clear()
                     known[leaf] = [_unpack(p) for p in plans]
-                tokens = lex(lines[0])
-                at, kinds = locate(tokens, [masks[x] for x in tokens]), shape.split(_TAB)
-                p = at and plan_of(known[leaf], kinds, at)
-                if at and p is None:
-                    own = [Line(1, t, [masks[x] for x in t]) for t in map(lex, lines)]
-                    p = plan_of(slot_plans(own), kinds, at)
+                p = plan_of(known[leaf], shape.split(_TAB), tuple(at))
                 if p:
                     shapes.append(shape)
                     out.append(_pack(p))
             yield pd.DataFrame({"shape": shapes, "plan": out})
 
-    return rows.join(plans, "leaf").mapInPandas(choose, f"shape string, plan {_PLAN}")
+    return placed.join(plans, "leaf").mapInPandas(choose, f"shape string, plan {_PLAN}")
 
 
 class _Entry:

@@ -124,6 +124,23 @@ def test_slots_follow_from_all_lines_of_a_template(spark, monkeypatch):
     assert mined == ["alpha"] * 32 and alone == [""] * 32
 
 
+def test_all_lines_of_a_template_decide(spark):
+    """Not a few of them, in whatever order and however often they come."""
+    words = "disk queue cache shard relay mirror probe batch ledger tenant".split()
+    days = [f"03/{13 if k == 41 else 4:02d}/2025 08:00:{k % 60:02d} core: full" for k in range(80)]
+    named = [f"2024-03-04 10:11:{k:02d} (1) {'alpha' if k % 2 else 'beta'} 7 {w}" for k, w in enumerate(words)]
+    prose = [f"2024-03-04 10:12:{k:02d} (1) (2) {words[k % 10]} 7 full" for k in range(40)]
+    texts = [*days, *named, *prose, "12 disks failed", "1735804800 disks failed"]
+    df = lines(spark, texts).coalesce(1)
+    got = entries(df)
+    at = {e["first_id"]: e for e in got}
+    assert [at[1 + k]["ts"][:10] for k in range(80)] == ["2025-03-13" if k == 41 else "2025-03-04" for k in range(80)]
+    assert [at[81 + k]["component"] for k in range(10)] == ["beta", "alpha"] * 5
+    assert [at[91 + k]["component"] for k in range(40)] == [""] * 40
+    assert at[132]["ts"] == "2025-01-02T08:00:00"  # also if the first line of its shape has no time
+    assert entries(df.unionByName(df).orderBy(F.desc("id"))) == got
+
+
 def test_many_shapes_are_joined(spark):
     texts = [c[0] for c in CASES + UNSEEN] + ["  more", "and more"]
     few, many = entries(lines(spark, texts)), entries(lines(spark, texts), broadcast_shapes=0)
